@@ -10,6 +10,8 @@ from cellstream.llm.common import fit_temperature
 
 #: Longest text that a training sample takes, in code points. Scoring has no such bound.
 TRAIN_CHARS = 100_000
+#: A small sample is learnt in more epochs, until it has given about so many updates.
+LEAST_UPDATES = 6_000
 
 
 def labelled_sample(rows: DataFrame, per_label: int, key: str = "doc_id", text: str = "text", label: str = "label", labels: DataFrame | None = None) -> list[tuple]:
@@ -100,11 +102,13 @@ class Ftrl:
 
 
 def fit_calibrated(examples: list, truth: list[int], features: int, classes: int, epochs: int, **settings) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights, bias and temperature: a fifth of the examples is kept back for the temperature, then all are learnt."""
+    """Weights, bias and temperature: a model without a fifth of the examples gives the temperature, one of all the rest."""
     back = [k for k in range(len(examples)) if k % 5 == 4]
     used = [k for k in range(len(examples)) if k % 5 != 4]
+    epochs = max(epochs, min(8 * epochs, LEAST_UPDATES // max(1, len(examples))))
     part = Ftrl(features, classes, **settings)
     part.fit([examples[k] for k in used], [truth[k] for k in used], epochs)
     temperature = fit_temperature(part.logits([examples[k] for k in back]), np.array([truth[k] for k in back], np.int64))
-    part.fit([examples[k] for k in back], [truth[k] for k in back], 1)
-    return part.weights(slice(None)), part.bias, temperature
+    every = Ftrl(features, classes, **settings)
+    every.fit(examples, truth, epochs)
+    return every.weights(slice(None)), every.bias, temperature

@@ -16,6 +16,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cellstream.llm.common import arrow_map, logistic, steps
 from cellstream.llm.hashed import labelled_sample
@@ -145,25 +146,32 @@ def learn_lexicon(texts: list[str], truth: np.ndarray) -> Lexicon:
     toxic, clean = max(1, int(truth.sum())), max(1, int((1 - truth).sum()))
 
     prior = toxic / (toxic + clean)
-
-    def weights(stem: bool) -> dict[str, float]:
-        out = {}
-        tried = sum(form.endswith("\0") == stem for form in held[1])
-        for form, n in held[1].items():
-            if form.endswith("\0") == stem and n >= MIN_TEXTS:
-                c = held[0][form]
-                ratio = (n / toxic) / ((c + 0.5) / clean)
-                share = n / (n + c)
-                # gain in log-likelihood over the prior, against as many forms as were tried
-                gain = n * np.log(share / prior) + (c * np.log((1 - share) / (1 - prior)) if c else 0.0)
-                if ratio >= MIN_RATIO and gain >= np.log(tried) + EVIDENCE:
-                    out[form.rstrip("\0")] = round(float(np.log(ratio)), 4)
-        return dict(sorted(out.items(), key=lambda x: (-x[1], x[0]))[:MAX_FORMS])
-
-    stems = weights(True)
-    # a longer stem tells nothing that a shorter one with as high a weight doesn't
-    stems = {s: w for s, w in stems.items() if not any(stems.get(s[:n], 0) >= 0.8 * w for n in STEM_LENGTHS if n < len(s))}
-    return Lexicon(weights(False), stems)
+    tried = max(1, len(held[1]))
+    gains: dict[str, tuple[float, float]] = {}
+    for form, n in held[1].items():
+        if n >= MIN_TEXTS:
+            c = held[0][form]
+            ratio, share = (n / toxic) / ((c + 0.5) / clean), n / (n + c)
+            # gain in log-likelihood over the prior, against as many forms as were tried
+            gain = n * np.log(share / prior) + (c * np.log((1 - share) / (1 - prior)) if c else 0.0)
+            if ratio >= MIN_RATIO and gain >= np.log(tried) + EVIDENCE:
+                gains[form] = (float(gain), float(np.log(ratio)))
+    texts_of: dict[str, set[int]] = {f: set() for f in gains}
+    for k, (text, y) in enumerate(zip(texts, truth.tolist(), strict=True)):
+        if y:
+            for w in set(re.findall(r"\w+", text.lower())):
+                for form in (w, *(f"{w[:n]}\0" for n in STEM_LENGTHS if len(w) >= n)):
+                    if form in texts_of:
+                        texts_of[form].add(k)
+    # best forms first; one that finds hardly any text that the taken ones don't is left out
+    taken: dict[str, float] = {}
+    covered: set[int] = set()
+    for form in sorted(gains, key=lambda f: (-gains[f][0], f.endswith("\0"), -len(f), f)):
+        own = texts_of[form]
+        if len(taken) < MAX_FORMS and len(own - covered) >= max(1, 0.1 * len(own)):
+            taken[form] = round(gains[form][1], 4)
+            covered |= own
+    return Lexicon({f: w for f, w in taken.items() if not f.endswith("\0")}, {f[:-1]: w for f, w in taken.items() if f.endswith("\0")})
 
 
 @dataclass
@@ -202,12 +210,15 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Tox
     """
     sample = labelled_sample(docs.select("doc_id", "text"), per_label, labels=labels.where("label in (0, 1)"))
     texts, truth = [r[1] for r in sample], np.array([int(r[2]) for r in sample], np.int64)
+    counts = {r["label"]: r["n"] for r in labels.where("label in (0, 1)").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(set(truth.tolist())) < 2:
         return ToxicityModel(Lexicon(), np.zeros(len(FEATURES)), -40.0)
     third = np.arange(len(texts)) % 3 == 2
     seen = learn_lexicon([t for t, x in zip(texts, third, strict=True) if not x], truth[~third])
     x = np.array([features(t, seen) for t, held in zip(texts, third, strict=True) if held]).reshape(-1, len(FEATURES))
-    slope, bias = _fit_logistic(x, truth[third].astype(float), np.ones(len(x)))
+    # the sample has about as many rows of either label; weigh them as the labels stand in the table
+    weight = np.array([counts[y] / max(1, int((truth == y).sum())) for y in (0, 1)])[truth[third]]
+    slope, bias = _fit_logistic(x, truth[third].astype(float), weight / weight.mean())
     return ToxicityModel(learn_lexicon(texts, truth), slope, bias)
 
 
