@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellstream.llm import bpe, langid, linededup, packing, pii, quality, secrets, topk, toxicity
+from cellstream.llm import bpe, langid, linededup, ngramjoin, packing, pii, quality, secrets, topk, toxicity
 from cellstream.llm.common import fold, read_table
 
 
@@ -23,6 +23,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digests(read_table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.link_components(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_inner_products(read_table(spark, sf_dir, "embeddings"), every=50)
 
@@ -57,7 +61,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_pii_pseudonyms, op3_line_dedup, op5_exact_topk, op6_byte_bpe, op7_best_fit_packing, op8_toxicity, op9_quality_rules, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_pii_pseudonyms, op3_line_dedup, op4_ngram_jaccard, op5_exact_topk, op6_byte_bpe, op7_best_fit_packing, op8_toxicity, op9_quality_rules, op10_secret_scan)}
 
 _TOPK_SQL = """
 WITH whole AS (

@@ -1,15 +1,59 @@
-"""The corpus pipeline: language ID, line dedup, near-duplicate documents, secrets, packing."""
+"""The corpus pipeline: language ID, line dedup, near-duplicate documents, secrets, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns the columns of documents; the
+last returns the packed pieces.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cellstream.llm import langid, linededup, ngramjoin, packing, secrets
+from cellstream.llm.common import checkpointed, fold
+
+#: Texts whose best language has a lower calibrated probability go, as do those without a letter.
+LEAST_SCORE = 0.4
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = langid.train(docs.where(fold("doc_id", 3) != 1))
+    told = langid.identify(docs, model, tuple(docs.columns))
+    return told.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return linededup.apply(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Five-word shingles, similarity of 0.8 or more."""
+    return ngramjoin.keep_one(docs, size=5, percent=80)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language ID", language),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_duplicates),
+    ("secret scans", secret_scan),
+    ("best-fit packing", pack),
+]
 
-STAGES: list = []
+#: Stages of a trained model and of tokenizers have no SQL; the tests hold the pipeline against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = checkpointed(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
