@@ -124,7 +124,8 @@ def _postings(batch: pa.RecordBatch) -> pa.RecordBatch:
     each = np.array([len(h) for h in held])
     where = pa.array(np.repeat(np.arange(len(held)), each))
     tokens = np.concatenate(held).view(np.int64) if held else np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(tokens), *(batch.column(k).take(where) for k in ("id", "n", "matches"))], ["token", "id", "n", "matches"])
+    shape = (batch.column("n").to_numpy() << 3) | batch.column("matches").to_numpy()  # in one column: a shuffled row is shorter
+    return pa.RecordBatch.from_arrays([pa.array(tokens), batch.column("id").take(where), pa.array(shape).take(where)], ["token", "id", "shape"])
 
 
 def _candidates(percent: int, most: int, block_rows: int, block_shingles: int):
@@ -158,7 +159,8 @@ def _candidates(percent: int, most: int, block_rows: int, block_shingles: int):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["kind", "a", "b", "c"])
 
         for batch in batches:
-            tokens, ids, sizes, matches = (batch.column(k).to_numpy() for k in ("token", "id", "n", "matches"))
+            tokens, ids, shape = (batch.column(k).to_numpy() for k in ("token", "id", "shape"))
+            sizes, matches = shape >> 3, shape & 7
             cuts = np.concatenate(([0], np.flatnonzero(tokens[1:] != tokens[:-1]) + 1, [len(tokens)]))
             lengths = np.diff(cuts)
             runs = np.flatnonzero(lengths > 1).tolist()
@@ -189,11 +191,22 @@ def _similar(shared: np.ndarray, n: np.ndarray, k: np.ndarray, percent: int) ->
     return 100 * shared >= percent * (n + k - shared)
 
 
-def _verify_pairs(percent: int):
+def packed_text(text: str | None) -> bytes:
+    """The words of a text, compressed: a third of what its shingle hashes take."""
+    return zlib.compress((text or "").encode("utf-8", "surrogatepass").lower(), 1)
+
+
+def packed_sets(packed: list[bytes], size: int) -> list[np.ndarray]:
+    return [s for p in packed for s in shingle_sets([zlib.decompress(p).decode("utf-8", "surrogatepass")], size)]
+
+
+def _verify_pairs(size: int, percent: int):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        good = []
-        for at, (x, y) in enumerate(zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True)):
-            s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        good, last, s = [], None, np.zeros(0, np.uint64)
+        for at, (a, x, y) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("a", "text_a", "text_b")), strict=True)):
+            if a != last:
+                (s,), last = packed_sets([x], size), a
+            (t,) = packed_sets([y], size)
             both = np.sort(np.concatenate((s, t)), kind="stable")
             if _similar(int((both[1:] == both[:-1]).sum()), len(s), len(t), percent):
                 good.append(at)
@@ -285,8 +298,8 @@ def link_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
     first = some.groupBy("print").agg(F.min(F.struct(F.col("doc_id").alias("id"), "mark", "n", "matches", "prefix")).alias("c"))
     classes = checkpointed(first.select("print", "c.*"))
 
-    postings = arrow_map(classes.select("id", "n", "matches", "prefix"), _postings, "token bigint, id bigint, n bigint, matches int")
-    postings = postings.repartition("token").sortWithinPartitions("token", "n", "id")
+    postings = arrow_map(classes.select("id", "n", "matches", "prefix"), _postings, "token bigint, id bigint, shape bigint")
+    postings = postings.repartition("token").sortWithinPartitions("token", "shape", "id")
     found = checkpointed(postings.mapInArrow(_candidates(percent, PAIR_HOLDERS, BLOCK_ROWS, BLOCK_SHINGLES), "kind int, a bigint, b bigint, c int"))
     pairs = found.where("kind = 0").groupBy("a", "b").agg(F.count(F.lit(1)).alias("seen"), F.min("c").alias("asked")).where("seen >= asked").select("a", "b")
     holders = found.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("id"), F.col("c").alias("block"))
@@ -295,26 +308,24 @@ def link_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
     texts = classes.select("id", "mark").join(wanted, "id")
     texts = own.withColumnRenamed("doc_id", "id").join(texts, ["id", "mark"]).dropDuplicates(["id", "mark"])
 
-    def to_sets(batch: pa.RecordBatch):
-        held = batch.column("text").to_pylist()
-        for begin, end in steps(held, STEP_CHARS):
-            made = pa.array([s.tobytes() for s in shingle_sets(held[begin:end], size)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(begin, end - begin), made], ["id", "shingles"])
+    def to_packed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = pa.array([packed_text(t) for t in batch.column("text").to_pylist()], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column("id"), made], ["id", "packed"])
 
-    sets = checkpointed(arrow_map(texts.select("id", "text"), to_sets, "id bigint, shingles binary"))
-    with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
-    with_both = with_b.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a").select("a", "b", "set_a", "set_b")
-    links = arrow_map(with_both, _verify_pairs(percent), "a bigint, b bigint")
+    packed = checkpointed(arrow_map(texts.select("id", "text"), to_packed, "id bigint, packed binary"))
+    with_b = pairs.join(packed.select(F.col("id").alias("b"), F.col("packed").alias("text_b")), "b")
+    with_both = with_b.join(packed.select(F.col("id").alias("a"), F.col("packed").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+    links = arrow_map(with_both, _verify_pairs(size, percent), "a bigint, b bigint")
 
     blocks = holders.groupBy("token").agg((F.max("block") + 1).alias("blocks"))
     spread = holders.join(blocks, "token").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.where("blocks = 1 or block <> other").select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id")
 
     def in_block(held: pd.DataFrame) -> pd.DataFrame:
-        made = block_links(held["id"].to_numpy(), [np.frombuffer(s, np.uint64) for s in held["shingles"]], percent)
+        made = block_links(held["id"].to_numpy(), packed_sets(held["packed"].tolist(), size), percent)
         return pd.DataFrame(made, columns=["a", "b"]).astype("int64")
 
-    more = spread.join(sets, "id").groupBy("token", "i", "j").applyInPandas(in_block, "a bigint, b bigint")
+    more = spread.join(packed, "id").groupBy("token", "i", "j").applyInPandas(in_block, "a bigint, b bigint")
     parts = connected(links.union(more))
     named = classes.select("print", "id").join(parts.withColumnRenamed("node", "id"), "id", "left")
     named = checkpointed(named.select("print", F.coalesce("component", "id").alias("component_id")))
