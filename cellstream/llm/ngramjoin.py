@@ -31,6 +31,8 @@ VERIFY_COST = 20.0
 PAIR_HOLDERS = 40
 BLOCK_ROWS = 1024
 BLOCK_SHINGLES = 500_000
+#: Shingles of a component of the candidate graph up to which one task verifies all its pairs.
+GROUP_SHINGLES = 2_000_000
 STEP_CHARS = 2_000_000
 
 
@@ -216,6 +218,29 @@ def _verify_pairs(size: int, percent: int):
     return run
 
 
+def pair_links(pairs: np.ndarray, packed: dict[int, bytes], size: int, percent: int) -> list[tuple[int, int]]:
+    """The pairs that link, but for those whose ends earlier ones have joined already."""
+    sets = dict(zip(packed, packed_sets(list(packed.values()), size), strict=True))
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = parent[x]
+        return x
+
+    out = []
+    for a, b in sorted(map(tuple, pairs.tolist())):
+        p, q = root(a), root(b)
+        if p == q:
+            continue
+        both = np.sort(np.concatenate((sets[a], sets[b])), kind="stable")
+        if _similar(int((both[1:] == both[:-1]).sum()), len(sets[a]), len(sets[b]), percent):
+            parent[max(p, q)] = min(p, q)
+            out.append((a, b))
+    return out
+
+
 def block_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among these sets, as (smallest id of the tree, id)."""
     m = len(ids)
@@ -302,6 +327,7 @@ def link_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
     postings = postings.repartition("token").sortWithinPartitions("token", "shape", "id")
     found = checkpointed(postings.mapInArrow(_candidates(percent, PAIR_HOLDERS, BLOCK_ROWS, BLOCK_SHINGLES), "kind int, a bigint, b bigint, c int"))
     pairs = found.where("kind = 0").groupBy("a", "b").agg(F.count(F.lit(1)).alias("seen"), F.min("c").alias("asked")).where("seen >= asked").select("a", "b")
+    pairs = checkpointed(pairs)
     holders = found.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("id"), F.col("c").alias("block"))
 
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(holders.select("id")).distinct()
@@ -313,9 +339,23 @@ def link_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
         return pa.RecordBatch.from_arrays([batch.column("id"), made], ["id", "packed"])
 
     packed = checkpointed(arrow_map(texts.select("id", "text"), to_packed, "id bigint, packed binary"))
-    with_b = pairs.join(packed.select(F.col("id").alias("b"), F.col("packed").alias("text_b")), "b")
+    # documents of one component of the candidate graph go to one place, each once, if the component is small enough
+    groups = connected(pairs)
+    weighed = groups.join(classes.select(F.col("id").alias("node"), "n"), "node").groupBy("component").agg(F.sum("n").alias("weight"))
+    groups = checkpointed(groups.join(weighed, "component").select("node", F.when(F.col("weight") <= GROUP_SHINGLES, F.col("component")).alias("group")))
+    dealt = pairs.join(groups.select(F.col("node").alias("a"), "group"), "a")
+    texts_of = groups.where("group IS NOT NULL").join(packed, F.col("node") == F.col("id")).select("group", "id", "packed")
+
+    def in_group(held: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+        made = pair_links(held[["a", "b"]].to_numpy(), dict(zip(texts["id"].tolist(), texts["packed"].tolist(), strict=True)), size, percent)
+        return pd.DataFrame(made, columns=["a", "b"]).astype("int64")
+
+    asked = dealt.where("group IS NOT NULL").groupBy("group").cogroup(texts_of.groupBy("group"))
+    links = asked.applyInPandas(in_group, "a bigint, b bigint")
+    apart = dealt.where("group IS NULL").select("a", "b")
+    with_b = apart.join(packed.select(F.col("id").alias("b"), F.col("packed").alias("text_b")), "b")
     with_both = with_b.join(packed.select(F.col("id").alias("a"), F.col("packed").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-    links = arrow_map(with_both, _verify_pairs(size, percent), "a bigint, b bigint")
+    links = links.union(arrow_map(with_both, _verify_pairs(size, percent), "a bigint, b bigint"))
 
     blocks = holders.groupBy("token").agg((F.max("block") + 1).alias("blocks"))
     spread = holders.join(blocks, "token").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
