@@ -344,13 +344,13 @@ def link_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
     weighed = groups.join(classes.select(F.col("id").alias("node"), "n"), "node").groupBy("component").agg(F.sum("n").alias("weight"))
     groups = checkpointed(groups.join(weighed, "component").select("node", F.when(F.col("weight") <= GROUP_SHINGLES, F.col("component")).alias("group")))
     dealt = pairs.join(groups.select(F.col("node").alias("a"), "group"), "a")
-    texts_of = groups.where("group IS NOT NULL").join(packed, F.col("node") == F.col("id")).select("group", "id", "packed")
+    texts_of = groups.where("group IS NOT NULL").join(packed, F.col("node") == F.col("id")).select(F.col("group").alias("of"), "id", "packed")
 
     def in_group(held: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
         made = pair_links(held[["a", "b"]].to_numpy(), dict(zip(texts["id"].tolist(), texts["packed"].tolist(), strict=True)), size, percent)
         return pd.DataFrame(made, columns=["a", "b"]).astype("int64")
 
-    asked = dealt.where("group IS NOT NULL").groupBy("group").cogroup(texts_of.groupBy("group"))
+    asked = dealt.where("group IS NOT NULL").groupBy("group").cogroup(texts_of.groupBy("of"))
     links = asked.applyInPandas(in_group, "a bigint, b bigint")
     apart = dealt.where("group IS NULL").select("a", "b")
     with_b = apart.join(packed.select(F.col("id").alias("b"), F.col("packed").alias("text_b")), "b")
