@@ -15,15 +15,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellstream.llm.common import Words, arrow_map, checkpointed, shingles, steps
+from cellstream.llm.common import Words, arrow_map, checkpointed, mixed, shingles, steps
 
 #: Slots of the document-frequency sketch (2^SKETCH_BITS), in PARTS parts that are summed apart.
 SKETCH_BITS = 20
 PARTS = 64
+#: Flags of the filter that keeps texts without candidates from being shuffled.
+FILTER_BITS = 22
 #: Longest lengthening of a prefix, and what verifying a candidate costs in index entries.
 MOST_MATCHES = 5
 VERIFY_COST = 20.0
@@ -31,8 +34,8 @@ VERIFY_COST = 20.0
 PAIR_HOLDERS = 40
 BLOCK_ROWS = 1024
 BLOCK_SHINGLES = 500_000
-#: Shingles of a component of the candidate graph up to which one task verifies all its pairs.
-GROUP_SHINGLES = 2_000_000
+#: Shingles of a component of the candidate graph up to which one task verifies it whole.
+GROUP_SHINGLES = 1_000_000
 STEP_CHARS = 2_000_000
 
 
@@ -49,18 +52,31 @@ def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
 
 def frequency_sketch(docs: DataFrame, size: int) -> np.ndarray:
     """How many documents hold a shingle of each slot, over all documents: 2^SKETCH_BITS counters, whatever the input."""
-    width = (1 << SKETCH_BITS) // PARTS
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.uint32)
+    def count(batch: pa.RecordBatch, total: np.ndarray) -> None:
+        texts = batch.column(0).to_pylist()
+        for begin, end in steps(texts, STEP_CHARS):
+            every = np.concatenate(shingle_sets(texts[begin:end], size))
+            total += np.bincount((every >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total)).astype(np.uint32)
+
+    return summed_counters(docs.select("text"), 1 << SKETCH_BITS, count)
+
+
+def summed_counters(rows: DataFrame, size: int, count) -> np.ndarray:
+    """Counters of a fixed number that `count(batch, counters)` adds to in each task, summed over all tasks."""
+    width = size // PARTS
+    schema = "part int, counts binary"
+
+    def packed(p: int, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], ["part", "counts"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.uint32)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for begin, end in steps(texts, STEP_CHARS):
-                sets = shingle_sets(texts[begin:end], size)
-                every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                total += np.bincount((every >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total)).astype(np.uint32)
+            if batch.num_rows:
+                count(batch, total)
         for p in range(PARTS):
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([zlib.compress(total[p * width : (p + 1) * width].tobytes(), 1)], pa.binary())], ["part", "counts"])
+            yield packed(p, total[p * width : (p + 1) * width])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -69,13 +85,39 @@ def frequency_sketch(docs: DataFrame, size: int) -> np.ndarray:
                 part = np.frombuffer(zlib.decompress(c), np.uint32)
                 sums[p] = sums[p] + part if p in sums else part
         for p, s in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([zlib.compress(s.tobytes(), 1)], pa.binary())], ["part", "counts"])
+            yield packed(p, s)
+
+    out = np.zeros(size, np.uint32)
+    for r in rows.mapInArrow(each, schema).repartition("part").mapInArrow(add, schema).collect():  # PARTS rows
+        out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.uint32)
+    return out
+
+
+def _slots(ids: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (mixed(ids.astype(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def filtered_texts(own: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, packed (compressed words) and the further columns of `wanted` (id, mark, ...): its texts among `own`.
+
+    A filter of 2^FILTER_BITS flags, whatever the input, keeps most other texts from being shuffled; the join is exact.
+    """
+
+    def flag(batch: pa.RecordBatch, total: np.ndarray) -> None:
+        total[_slots(batch.column(0).to_numpy())] = 1
 
-    parts = docs.select("text").mapInArrow(count, "part int, counts binary").repartition("part").mapInArrow(add, "part int, counts binary")
-    sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-    for r in parts.collect():  # PARTS rows
-        sketch[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.uint32)
-    return sketch
+    flags = np.packbits(summed_counters(wanted.select("id"), 1 << FILTER_BITS, flag) > 0)
+
+    def pack(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        batch = batch.filter(pa.compute.is_valid(batch.column("id")))
+        slots = _slots(batch.column("id").to_numpy())
+        batch = batch.take(pa.array(np.flatnonzero(flags[slots >> 3] & (128 >> (slots & 7)))))
+        made = pa.array([packed_text(t) for t in batch.column("text").to_pylist()], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), made], ["id", "mark", "packed"])
+
+    near = arrow_map(own.select(F.col("doc_id").alias("id"), "mark", "text"), pack, "id bigint, mark bigint, packed binary")
+    return near.join(wanted, ["id", "mark"]).dropDuplicates(["id", "mark"]).drop("mark")
 
 
 def adaptive_prefix(tokens: np.ndarray, sketch: np.ndarray, noise: float, percent: int) -> tuple[int, np.ndarray]:
@@ -218,29 +260,6 @@ def _verify_pairs(size: int, percent: int):
     return run
 
 
-def pair_links(pairs: np.ndarray, packed: dict[int, bytes], size: int, percent: int) -> list[tuple[int, int]]:
-    """The pairs that link, but for those whose ends earlier ones have joined already."""
-    sets = dict(zip(packed, packed_sets(list(packed.values()), size), strict=True))
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (up := parent.get(x, x)) != x:
-            parent[x] = parent.get(up, up)
-            x = parent[x]
-        return x
-
-    out = []
-    for a, b in sorted(map(tuple, pairs.tolist())):
-        p, q = root(a), root(b)
-        if p == q:
-            continue
-        both = np.sort(np.concatenate((sets[a], sets[b])), kind="stable")
-        if _similar(int((both[1:] == both[:-1]).sum()), len(sets[a]), len(sets[b]), percent):
-            parent[max(p, q)] = min(p, q)
-            out.append((a, b))
-    return out
-
-
 def block_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among these sets, as (smallest id of the tree, id)."""
     m = len(ids)
@@ -330,43 +349,31 @@ def link_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
     pairs = checkpointed(pairs)
     holders = found.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("id"), F.col("c").alias("block"))
 
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(holders.select("id")).distinct()
-    texts = classes.select("id", "mark").join(wanted, "id")
-    texts = own.withColumnRenamed("doc_id", "id").join(texts, ["id", "mark"]).dropDuplicates(["id", "mark"])
-
-    def to_packed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = pa.array([packed_text(t) for t in batch.column("text").to_pylist()], pa.binary())
-        return pa.RecordBatch.from_arrays([batch.column("id"), made], ["id", "packed"])
-
-    packed = checkpointed(arrow_map(texts.select("id", "text"), to_packed, "id bigint, packed binary"))
-    # documents of one component of the candidate graph go to one place, each once, if the component is small enough
-    groups = connected(pairs)
-    weighed = groups.join(classes.select(F.col("id").alias("node"), "n"), "node").groupBy("component").agg(F.sum("n").alias("weight"))
-    groups = checkpointed(groups.join(weighed, "component").select("node", F.when(F.col("weight") <= GROUP_SHINGLES, F.col("component")).alias("group")))
-    dealt = pairs.join(groups.select(F.col("node").alias("a"), "group"), "a")
-    texts_of = groups.where("group IS NOT NULL").join(packed, F.col("node") == F.col("id")).select(F.col("group").alias("of"), "id", "packed")
-
-    def in_group(held: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
-        made = pair_links(held[["a", "b"]].to_numpy(), dict(zip(texts["id"].tolist(), texts["packed"].tolist(), strict=True)), size, percent)
-        return pd.DataFrame(made, columns=["a", "b"]).astype("int64")
-
-    asked = dealt.where("group IS NOT NULL").groupBy("group").cogroup(texts_of.groupBy("of"))
-    links = asked.applyInPandas(in_group, "a bigint, b bigint")
-    apart = dealt.where("group IS NULL").select("a", "b")
-    with_b = apart.join(packed.select(F.col("id").alias("b"), F.col("packed").alias("text_b")), "b")
-    with_both = with_b.join(packed.select(F.col("id").alias("a"), F.col("packed").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-    links = links.union(arrow_map(with_both, _verify_pairs(size, percent), "a bigint, b bigint"))
-
-    blocks = holders.groupBy("token").agg((F.max("block") + 1).alias("blocks"))
-    spread = holders.join(blocks, "token").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.where("blocks = 1 or block <> other").select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id")
+    # Documents of one component of the candidate graph go to one place, each once, if the component is small enough;
+    # the holders of a token with many are one component, by an edge from its first holder to each other one.
+    first_of = holders.groupBy("token").agg(F.min("id").alias("first"))
+    stars = holders.join(first_of, "token").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    groups = connected(pairs.union(stars)).withColumnRenamed("node", "id").join(classes.select("id", "mark", "n"), "id")
+    weights = groups.groupBy("component").agg(F.sum("n").alias("weight"))
+    groups = checkpointed(groups.join(weights, "component").select("id", "mark", "component", (F.col("weight") <= GROUP_SHINGLES).alias("small")))
 
     def in_block(held: pd.DataFrame) -> pd.DataFrame:
         made = block_links(held["id"].to_numpy(), packed_sets(held["packed"].tolist(), size), percent)
         return pd.DataFrame(made, columns=["a", "b"]).astype("int64")
 
-    more = spread.join(packed, "id").groupBy("token", "i", "j").applyInPandas(in_block, "a bigint, b bigint")
-    parts = connected(links.union(more))
+    together = filtered_texts(own, groups.where("small").select("id", "mark", "component"))
+    links = checkpointed(together.groupBy("component").applyInPandas(in_block, "a bigint, b bigint"))
+    large = groups.where("NOT small").select("id", "mark")
+    if not large.isEmpty():
+        packed = checkpointed(filtered_texts(own, large))
+        left, right = (packed.select(F.col("id").alias(k), F.col("packed").alias(f"text_{k}")) for k in ("a", "b"))
+        both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+        blocks = holders.groupBy("token").agg((F.max("block") + 1).alias("blocks"))
+        spread = holders.join(large.select("id"), "id").join(blocks, "token").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        spread = spread.where("blocks = 1 or block <> other").select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id")
+        more = spread.join(packed, "id").groupBy("token", "i", "j").applyInPandas(in_block, "a bigint, b bigint")
+        links = links.union(arrow_map(both, _verify_pairs(size, percent), "a bigint, b bigint")).union(more)
+    parts = connected(links)
     named = classes.select("print", "id").join(parts.withColumnRenamed("node", "id"), "id", "left")
     named = checkpointed(named.select("print", F.coalesce("component", "id").alias("component_id")))
     out = rows.select("doc_id", "mark", F.col("n").alias("n_shingles"), "print").join(named, "print", "left")
