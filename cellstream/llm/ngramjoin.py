@@ -1,7 +1,7 @@
 """N-gram Jaccard join by adaptive multi-match prefixes.
 
-Documents with one shingle set are a class. Shingles are ordered by a document-frequency sketch, rare ones first, then by
-hash. A class indexes its prefix of that order; where the sketch foresees many candidates it lengthens the prefix by some
+Documents with one shingle set are a class. Shingles are ordered by the holders counted of the frequent ones, rare ones
+first, then by hash. A class indexes its prefix of that order; where it foresees many candidates it lengthens the prefix by some
 tokens and asks for as many more matches: a pair whose prefixes were lengthened to l and l' needs min(l, l') shared prefix
 tokens before it is verified on the whole sets. Tokens with many holders aren't turned into pairs: their holders are cut
 into bounded blocks and verified block against block, giving a spanning forest of the links only.
@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 from cellstream.llm.common import Words, arrow_map, checkpointed, mixed, shingles, steps
 
-#: Slots of the document-frequency sketch (2^SKETCH_BITS), in PARTS parts that are summed apart.
-SKETCH_BITS = 20
+#: Frequent shingles that are told apart at most, and documents of a batch from which one is reported.
+FREQUENT = 1 << 18
+LOCAL_COUNT = 3
+#: Parts in which counters are summed.
 PARTS = 64
 #: Flags of the filter that keeps texts without candidates from being shuffled.
 FILTER_BITS = 22
@@ -50,16 +52,31 @@ def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
     return [np.unique(hashes[cuts[k] : cuts[k + 1]]) for k in range(len(texts))]
 
 
-def frequency_sketch(docs: DataFrame, size: int) -> np.ndarray:
-    """How many documents hold a shingle of each slot, over all documents: 2^SKETCH_BITS counters, whatever the input."""
+def frequent_shingles(docs: DataFrame, size: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The `most` shingles at most that most documents hold, over all documents: sorted hashes and counts.
 
-    def count(batch: pa.RecordBatch, total: np.ndarray) -> None:
-        texts = batch.column(0).to_pylist()
-        for begin, end in steps(texts, STEP_CHARS):
-            every = np.concatenate(shingle_sets(texts[begin:end], size))
-            total += np.bincount((every >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total)).astype(np.uint32)
+    A batch reports shingles of LOCAL_COUNT or more of its documents; what stays unreported is rare, or spread thin. Only
+    the order of prefixes hangs on it, not the result.
+    """
 
-    return summed_counters(docs.select("text"), 1 << SKETCH_BITS, count)
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(0).to_pylist()
+        every = np.concatenate([s for begin, end in steps(texts, STEP_CHARS) for s in shingle_sets(texts[begin:end], size)])
+        tokens, counts = np.unique(every, return_counts=True)
+        often = counts >= LOCAL_COUNT
+        return pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(counts[often], pa.int64())], ["token", "n"])
+
+    counts = arrow_map(docs.select("text"), run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = checkpointed(counts.withColumn("level", F.floor(F.log2("n")).cast("int")))
+    room, least = most, 64
+    for r in sorted(counts.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):  # 64 rows
+        if r["n"] > room:
+            break
+        room, least = room - r["n"], r["level"]
+    table = counts.where(F.col("level") >= least).select("token", "n").toArrow()
+    tokens = table.column("token").to_numpy().view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], table.column("n").to_numpy()[order]
 
 
 def summed_counters(rows: DataFrame, size: int, count) -> np.ndarray:
@@ -120,11 +137,9 @@ def filtered_texts(own: DataFrame, wanted: DataFrame) -> DataFrame:
     return near.join(wanted, ["id", "mark"]).dropDuplicates(["id", "mark"]).drop("mark")
 
 
-def adaptive_prefix(tokens: np.ndarray, sketch: np.ndarray, noise: float, percent: int) -> tuple[int, np.ndarray]:
-    """How many matches a set asks for, and its prefix in the common order."""
+def adaptive_prefix(tokens: np.ndarray, others: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
+    """How many matches a set asks for, and its prefix in the common order; `others`: known holders of each token."""
     n = len(tokens)
-    held = sketch[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-    others = np.maximum(held.astype(np.float64) - 1.0 - noise, 0.0)
     level = np.floor(np.log2(1.0 + others)).astype(np.int64)
     order = np.lexsort((tokens, level))
     least = -(-percent * n // 100)  # shared shingles that any link needs
@@ -134,18 +149,24 @@ def adaptive_prefix(tokens: np.ndarray, sketch: np.ndarray, noise: float, percen
     ways = [first + m + cost[first + m - 2] * (1.0 + VERIFY_COST / m**2) for m in range(1, most + 1)]
     matches = int(np.argmin(ways)) + 1
     chosen = order[: first + matches - 1]
-    return matches, tokens[chosen[held[chosen] > 1]]  # a slot counted once is no other document's
+    return matches, tokens[chosen]
 
 
-def _classes(docs: DataFrame, size: int, percent: int, sketch: np.ndarray) -> DataFrame:
+def _classes(docs: DataFrame, size: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """doc_id, mark (of the text), n, print (of the set, null without one), matches, prefix of each row."""
-    noise = 2.0 * float(sketch.mean())
+    known, held = np.append(frequent[0], np.uint64(0xFFFFFFFFFFFFFFFF)), np.append(frequent[1], 0).astype(np.float64)
 
     def run(batch: pa.RecordBatch):
         texts = batch.column("text").to_pylist()
         for begin, end in steps(texts, STEP_CHARS):
             counts, prints, matches, prefixes = [], [], [], []
-            for tokens in shingle_sets(texts[begin:end], size):
+            sets = shingle_sets(texts[begin:end], size)
+            every = np.concatenate(sets)
+            at = np.minimum(np.searchsorted(known, every), len(known) - 1)
+            others = np.where(known[at] == every, held[at], 0.0)
+            stop = 0
+            for tokens in sets:
+                stop += len(tokens)
                 counts.append(len(tokens))
                 if not len(tokens):
                     prints.append(None)
@@ -153,7 +174,7 @@ def _classes(docs: DataFrame, size: int, percent: int, sketch: np.ndarray) -> Da
                     prefixes.append(b"")
                     continue
                 prints.append(xxhash.xxh3_128_digest(tokens.tobytes()))
-                m, prefix = adaptive_prefix(tokens, sketch, noise, percent)
+                m, prefix = adaptive_prefix(tokens, others[stop - len(tokens) : stop], percent)
                 matches.append(m)
                 prefixes.append(prefix.tobytes())
             own = [batch.column(k).slice(begin, end - begin) for k in ("doc_id", "mark")]
@@ -337,7 +358,7 @@ def link_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
     nothing. Shingles are told apart by 64-bit hashes, sets by 128-bit ones.
     """
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
-    rows = checkpointed(_classes(own, size, percent, frequency_sketch(own, size)))
+    rows = checkpointed(_classes(own, size, percent, frequent_shingles(own, size, FREQUENT)))
     some = rows.where(F.col("print").isNotNull() & F.col("doc_id").isNotNull())
     first = some.groupBy("print").agg(F.min(F.struct(F.col("doc_id").alias("id"), "mark", "n", "matches", "prefix")).alias("c"))
     classes = checkpointed(first.select("print", "c.*"))
