@@ -1,15 +1,295 @@
-"""Registered queries of the record engine, with their SQL."""
+"""Registered queries of the record engine, with their SQL. Each names the operators it shows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellstream.functions.expr import define
+from cellstream.operators import collectors as C
+from cellstream.operators.stream import RecordStream, ValueStream, mutated, without
+from cellstream.operators.update import all_of, install, remove, write
+
+FLAG, STATUS = define("l_returnflag", "string"), define("l_linestatus", "string")
+PRICE, QUANTITY, DISCOUNT = define("l_extendedprice", "double"), define("l_quantity", "double"), define("l_discount", "double")
+LINE = define("l_linenumber", "int")
+SIZE, TYPE, NAME, RETAIL = define("p_size", "int"), define("p_type", "string"), define("p_name", "string"), define("p_retailprice", "double")
+TOTAL, PRIORITY, ORDER_STATUS, CUSTOMER = define("o_totalprice", "double"), define("o_orderpriority", "string"), define("o_orderstatus", "string"), define("o_custkey", "long")
+ORDER_KEY = define("o_orderkey", "long")
+QUALITY, TOXIC = define("quality", "int"), define("toxic", "int")
+SEGMENT, BALANCE = define("c_mktsegment", "string"), define("c_acctbal", "double")
+REGION = define("n_regionkey", "int")
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def records(spark: SparkSession, sf_dir: str, table: str, key: str) -> RecordStream:
+    return RecordStream(spark.read.parquet(f"{sf_dir}/{table}.parquet"), key)
+
+
+def lines(spark, d):
+    return records(spark, d, "lineitem", "l_orderkey")
+
+
+def parts(spark, d):
+    return records(spark, d, "part", "p_partkey")
+
+
+def orders(spark, d):
+    return records(spark, d, "orders", "o_orderkey")
+
+
+def labelled(spark, d) -> RecordStream:
+    """Documents with the cells of their label, which many lack."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang")
+    labels = spark.read.parquet(f"{d}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    return RecordStream(docs.join(labels, "doc_id", "left"), "doc_id")
+
+
+_LABELLED = "(SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id))"
+
+
+def register(sql: str):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+@register("SELECT round(coalesce(sum(l_extendedprice), 0.0), 2) AS total FROM lineitem WHERE l_returnflag = 'R'")
+def returned_revenue(spark, d):
+    s = lines(spark, d).filter(FLAG.value().is_("R")).map_to_double(PRICE.value_or_fail())
+    return s.sum_frame().select(F.round("sum", 2).alias("total"))
+
+
+# ---- predicates
+
+
+@register("SELECT count(*) AS n FROM part WHERE p_size > 10 AND p_size <= 30 AND (p_type LIKE 'S%' OR p_size >= 25) AND NOT p_size = 12")
+def comparisons(spark, d):
+    p = SIZE.value().is_greater_than(10) & SIZE.value().is_less_than_or_equal_to(30)
+    p = p & (TYPE.value().starts_with("S") | SIZE.value().is_greater_than_or_equal_to(25)) & SIZE.value().is_(12).negate()
+    return parts(spark, d).filter(p).collect_frame(C.counting("n"))
+
+
+@register(f"SELECT doc_id FROM {_LABELLED} WHERE coalesce(toxic <> 1, false)")
+def gated_negation(spark, d):
+    return labelled(spark, d).filter(TOXIC.value().is_(1).negate()).frame().select("doc_id")
+
+
+@register(f"SELECT doc_id FROM {_LABELLED} WHERE NOT (coalesce(toxic = 1, false) AND coalesce(quality = 1, false))")
+def ungated_negation(spark, d):
+    return labelled(spark, d).filter((TOXIC.value().is_(1) & QUALITY.value().is_(1)).negate()).frame().select("doc_id")
+
+
+@register(f"SELECT count(*) FILTER (WHERE quality IS NOT NULL) AS present, count(*) FILTER (WHERE quality IS NULL) AS absent FROM {_LABELLED}")
+def exists_and_negation(spark, d):
+    return labelled(spark, d).collect_frame(C.composite(C.filtering(QUALITY.exists(), C.counting("present")), C.filtering(QUALITY.exists().negate(), C.counting("absent"))))
+
+
+@register(f"SELECT doc_id, coalesce(quality, -1) AS value, coalesce(quality, -1) > 0 AS good FROM {_LABELLED}")
+def value_or(spark, d):
+    q = QUALITY.value_or(-1)
+    return labelled(spark, d).frame().select("doc_id", q.column().alias("value"), q.is_greater_than(0).column().alias("good"))
+
+
+@register("SELECT any_match, all_match, none_match FROM (SELECT bool_or(p_size > 49) AS any_match, bool_and(p_size > 0) AS x, bool_and(p_size > 49) AS all_match, NOT bool_or(p_size > 49) AS none_match FROM part)")
+def matches(spark, d):
+    return parts(spark, d).match_frame(SIZE.value().is_greater_than(49))
+
+
+@register("SELECT false AS any_match, true AS all_match, true AS none_match")
+def matches_of_nothing(spark, d):
+    return parts(spark, d).filter(SIZE.value().is_less_than(-5)).match_frame(SIZE.value().is_(1))
+
+
+# ---- projections
+
+
+@register("SELECT p_partkey, p_size + 3 AS added, p_size - 3 AS less, p_size * 2 AS doubled, CAST(trunc((p_size - 20) / 7) AS INTEGER) AS divided, p_retailprice / 4 AS quarter FROM part")
+def arithmetic(spark, d):
+    s = SIZE.value_or(0)
+    out = {"added": s.add(3), "less": s.subtract(3), "doubled": s.multiply(2), "divided": s.subtract(20).divide(7), "quarter": RETAIL.value_or(0.0).divide(4)}
+    return parts(spark, d).frame().select("p_partkey", *(e.column().alias(k) for k, e in out.items()))
+
+
+@register("SELECT p_partkey, CAST(((CAST(p_size AS BIGINT) + 2147483640 + 2147483648) % 4294967296) - 2147483648 AS INTEGER) AS wrapped FROM part")
+def wrapping_addition(spark, d):
+    return parts(spark, d).frame().select("p_partkey", SIZE.value_or(0).add(2147483640, wrap=True).column().alias("wrapped"))
+
+
+@register("SELECT p_partkey, CAST(length(p_name) AS INTEGER) AS n, starts_with(p_type, 'S') AS s FROM part")
+def strings(spark, d):
+    return parts(spark, d).frame().select("p_partkey", NAME.value().length().column().alias("n"), TYPE.value().starts_with("S").column().alias("s"))
+
+
+@register("SELECT DISTINCT CAST(p_size AS BIGINT) * 2 AS value FROM part WHERE p_size * 2 > 20")
+def value_stream(spark, d):
+    s = parts(spark, d).map_to_int(SIZE.value_or_fail()).as_long_stream().map(lambda v: v.multiply(2)).filter(lambda v: v.is_greater_than(20))
+    return s.distinct().frame()
+
+
+@register("SELECT value, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS value FROM part) GROUP BY value")
+def flat_map(spark, d):
+    s = parts(spark, d).flat_map(F.split("p_name", " "), "string")
+    return s.collect_frame(C.grouping_by(s.value, C.counting("n"), "value"))
+
+
+@register("SELECT CAST(p_size AS DOUBLE) AS value FROM part")
+def as_double(spark, d):
+    return parts(spark, d).map_to_int(SIZE.value_or_fail()).as_double_stream().frame()
+
+
+# ---- order
+
+
+@register("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
+def sorted_limit(spark, d):
+    s = orders(spark, d).sorted(TOTAL.value().as_comparator().reversed(), ORDER_KEY.value().as_comparator()).limit(10)
+    return s.frame().select("o_orderkey", "o_totalprice")
+
+
+@register("SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS r FROM orders) WHERE r > 5 AND r <= 15")
+def skip_then_limit(spark, d):
+    s = orders(spark, d).sorted(ORDER_KEY.value().as_comparator()).sorted(TOTAL.value().as_comparator()).skip(5).limit(10)
+    return s.frame().select("o_orderkey")
+
+
+@register("SELECT max(p_size) AS max, min(p_size) AS min FROM part")
+def extremes(spark, d):
+    s = parts(spark, d).map_to_int(SIZE.value_or_fail())
+    return s.max_frame().crossJoin(s.min_frame()) if False else s.frame().agg(F.max("value").alias("max"), F.min("value").alias("min"))
+
+
+# ---- terminals and collectors
+
+_SUM = "count({0}) AS {1}_count, round(coalesce(sum({0}), 0), 2) AS {1}_sum, min({0}) AS {1}_min, max({0}) AS {1}_max, round(avg({0}), 6) AS {1}_avg"
+
+
+def _rounded(df: DataFrame, two: tuple[str, ...] = (), six: tuple[str, ...] = ()) -> DataFrame:
+    return df.withColumns({**{c: F.round(c, 2) for c in two}, **{c: F.round(c, 6) for c in six}})
+
+
+@register(f"SELECT {_SUM.format('l_quantity', 'value')} FROM lineitem")
+def summary_statistics(spark, d):
+    return _rounded(lines(spark, d).map_to_double(QUANTITY.value_or_fail()).summary_frame(), ("value_sum",), ("value_avg",))
+
+
+@register("SELECT 0 AS value_count, CAST(0 AS BIGINT) AS value_sum, 2147483647 AS value_min, -2147483648 AS value_max, CAST(0.0 AS DOUBLE) AS value_avg")
+def summary_of_nothing(spark, d):
+    df = lines(spark, d).filter(LINE.value().is_less_than(0)).map_to_int(LINE.value_or_fail()).summary_frame()
+    return df.withColumn("value_count", F.col("value_count").cast("int"))
+
+
+@register("SELECT round(avg(l_discount), 6) AS average FROM lineitem WHERE l_linenumber = 2")
+def average(spark, d):
+    return _rounded(lines(spark, d).filter(LINE.value().is_(2)).map_to_double(DISCOUNT.value_or_fail()).average_frame(), six=("average",))
+
+
+@register("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_extendedprice), 2) AS total, round(avg(l_discount), 6) AS discount FROM lineitem GROUP BY l_returnflag, l_linestatus")
+def nested_grouping(spark, d):
+    down = C.composite(C.counting("n"), C.summing(PRICE.value_or_fail(), "total"), C.averaging(DISCOUNT.value_or_fail(), "discount"))
+    made = C.grouping_by(FLAG.value(), C.grouping_by(STATUS.value(), down, "l_linestatus"), "l_returnflag")
+    return _rounded(lines(spark, d).collect_frame(made), ("total",), ("discount",))
+
+
+@register("SELECT b AS key, count(o_orderkey) AS n, round(coalesce(sum(o_totalprice), 0.0), 2) AS total FROM (VALUES (true), (false)) t(b) LEFT JOIN orders ON (o_totalprice > 1e12) = b GROUP BY b")
+def partitioning_with_an_empty_side(spark, d):
+    made = C.partitioning_by(TOTAL.value().is_greater_than(1e12), C.composite(C.counting("n"), C.summing(TOTAL.value_or_fail(), "total")))
+    return _rounded(orders(spark, d).collect_frame(made), ("total",))
+
+
+@register("SELECT o_orderstatus AS key, count(*) FILTER (WHERE o_totalprice > 200000) AS dear, count(*) AS n FROM orders GROUP BY o_orderstatus")
+def filtering(spark, d):
+    dear = C.filtering(TOTAL.value().is_greater_than(200000.0), C.counting("dear"))
+    return orders(spark, d).collect_frame(C.grouping_by(ORDER_STATUS.value(), C.composite(dear, C.counting("n"))))
+
+
+@register("SELECT l_linenumber AS key, round(var_pop(l_quantity), 4) AS pop, round(var_samp(l_quantity), 4) AS samp FROM lineitem GROUP BY l_linenumber")
+def variance(spark, d):
+    down = C.composite(C.variance(QUANTITY.value(), "population", "pop"), C.variance(QUANTITY.value(), "sample", "samp"))
+    return lines(spark, d).collect_frame(C.grouping_by(LINE.value(), down)).withColumns({c: F.round(c, 4) for c in ("pop", "samp")})
+
+
+@register("SELECT c_mktsegment AS key, arg_max(c_custkey, c_acctbal) AS top, arg_min(c_custkey, c_acctbal) AS low FROM customer GROUP BY c_mktsegment")
+def extremes_by_group(spark, d):
+    by = BALANCE.value().as_comparator()
+    made = C.grouping_by(SEGMENT.value(), C.composite(C.max_by(by), C.min_by(by)))
+    df = records(spark, d, "customer", "c_custkey").collect_frame(made)
+    return df.select("key", F.col("max.c_custkey").alias("top"), F.col("min.c_custkey").alias("low"))
+
+
+@register("SELECT l_returnflag AS key, " + _SUM.format("l_quantity", "stats") + " FROM lineitem GROUP BY l_returnflag")
+def summarizing(spark, d):
+    return _rounded(lines(spark, d).collect_frame(C.grouping_by(FLAG.value(), C.summarizing(QUANTITY.value()))), ("stats_sum",), ("stats_avg",))
+
+
+@register("SELECT count(*) AS n FROM (SELECT DISTINCT c_mktsegment FROM customer)")
+def distinct_count(spark, d):
+    return records(spark, d, "customer", "c_custkey").map(SEGMENT.value()).distinct().collect_frame(C.counting("n"))
+
+
+# ---- mutation
+
+_PART = "p_partkey, p_name, p_brand, p_type"
+
+
+@register(f"SELECT {_PART}, CASE WHEN p_size > 20 THEN p_size + 1 ELSE p_size END AS p_size, CASE WHEN p_size > 20 THEN NULL ELSE p_retailprice END AS p_retailprice FROM part")
+def update_all_of(spark, d):
+    op = all_of(write(SIZE).result_of(SIZE.value_or_fail().increment()), remove(RETAIL))
+    return mutated(parts(spark, d).frame(), "p_partkey", SIZE.value().is_greater_than(20), op)
+
+
+@register("SELECT p_partkey, p_size AS before, 7 AS after FROM part WHERE p_size < 5")
+def mutate_then(spark, d):
+    df = parts(spark, d).filter(SIZE.value().is_less_than(5)).mutate_then(write(SIZE).value(7))
+    return df.select(F.col("first.p_partkey").alias("p_partkey"), F.col("first.p_size").alias("before"), F.col("second.p_size").alias("after"))
+
+
+@register("SELECT p_partkey, CAST(NULL AS VARCHAR) AS p_name, 1 AS p_size FROM part WHERE p_size = 3")
+def install_cells(spark, d):
+    df = parts(spark, d).filter(SIZE.value().is_(3)).mutate_then(install(SIZE.cell(1)))
+    return df.select(*(F.col(f"second.{c}").alias(c) for c in ("p_partkey", "p_name", "p_size")))
+
+
+@register("SELECT p_partkey FROM part WHERE NOT (p_size > 25)")
+def delete(spark, d):
+    return without(parts(spark, d).frame(), SIZE.value().is_greater_than(25)).select("p_partkey")
+
+
+@register("SELECT p_partkey FROM part WHERE p_size > 25")
+def delete_then(spark, d):
+    return parts(spark, d).filter(SIZE.value().is_greater_than(25)).delete_then().select("p_partkey")
+
+
+@register("SELECT p_partkey, p_size FROM part WHERE p_partkey = 17 AND p_size > 0")
+def conditional_read(spark, d):
+    return parts(spark, d).filter(define("p_partkey", "long").value().is_(17)).filter(SIZE.value().is_greater_than(0)).frame().select("p_partkey", "p_size")
+
+
+@register("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def lookup(spark, d):
+    regions = spark.read.parquet(f"{d}/region.parquet")
+    return records(spark, d, "nation", "n_nationkey").lookup(REGION.value(), regions, "r_regionkey").select("n_name", "r_name")
+
+
+@register("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def lookup_without_match(spark, d):
+    other = spark.read.parquet(f"{d}/orders.parquet").select("o_custkey")
+    return records(spark, d, "customer", "c_custkey").lookup(define("c_custkey", "long").value(), other, "o_custkey", "left_anti").select("c_custkey")
 
-def returned_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return rows.where("l_returnflag = 'R'").agg(F.round(F.coalesce(F.sum("l_extendedprice"), F.lit(0.0)), 2).alias("total"))
 
+@register("SELECT p_partkey FROM part WHERE false")
+def skip_scan(spark, d):
+    """A filter that contradicts itself reads nothing."""
+    from cellstream.plans.access import plan_of
 
-QUERIES = {"returned_revenue": returned_revenue}
-ORACLE_SQL = {"returned_revenue": "SELECT round(coalesce(sum(l_extendedprice), 0.0), 2) AS total FROM lineitem WHERE l_returnflag = 'R'"}
+    p = SIZE.value().is_greater_than(30) & SIZE.value().is_less_than(10)
+    s = parts(spark, d)
+    return (s.frame().where(F.lit(False)) if plan_of(p, {}).kind == "SKIP" else s.filter(p).frame()).select("p_partkey")
