@@ -1,10 +1,13 @@
 """N-gram Jaccard join by adaptive multi-match prefixes.
 
-Documents with one shingle set are a class. Shingles are ordered by the holders counted of the frequent ones, rare ones
-first, then by hash. A class indexes its prefix of that order; where it foresees many candidates it lengthens the prefix by some
-tokens and asks for as many more matches: a pair whose prefixes were lengthened to l and l' needs min(l, l') shared prefix
-tokens before it is verified on the whole sets. Tokens with many holders aren't turned into pairs: their holders are cut
-into bounded blocks and verified block against block, giving a spanning forest of the links only.
+Documents with one shingle set are a class. Shingles are ordered by zones, then by hash: first those of a lower part of
+the hash space that few documents hold, then the rest of the space, then those of the lower part that many hold, by their
+number of holders. The lower part is wide enough for the prefix of nearly every document, so holders are counted there
+only, over all documents. A class indexes its prefix of that order; by its estimated candidate cost it lengthens the
+prefix by some tokens and asks for as many more matches. A pair needs, before it is verified on the whole sets, as many
+shared prefix tokens as the sizes of both sets and the lengths of both prefixes imply. Tokens with many holders aren't
+turned into pairs: their holders count as one candidate component. Components are verified whole if they are small, else
+in bounded blocks, giving a spanning forest of the links only.
 """
 
 from __future__ import annotations
@@ -17,27 +20,30 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellstream.llm.common import Words, arrow_map, checkpointed, mixed, shingles, steps
 
-#: Frequent shingles that are told apart at most, and documents of a batch from which one is reported.
-FREQUENT = 1 << 18
-LOCAL_COUNT = 3
+#: Frequent shingles that are told apart at most: 16 bytes each.
+FREQUENT = 1 << 20
 #: Parts in which counters are summed.
 PARTS = 64
 #: Flags of the filter that keeps texts without candidates from being shuffled.
 FILTER_BITS = 22
 #: Longest lengthening of a prefix, and what verifying a candidate costs in index entries.
-MOST_MATCHES = 5
+MOST_MATCHES = 7
 VERIFY_COST = 20.0
-#: Holders of a token up to which it gives pairs; beyond, blocks of bounded size.
-PAIR_HOLDERS = 40
-BLOCK_ROWS = 1024
-BLOCK_SHINGLES = 500_000
-#: Shingles of a component of the candidate graph up to which one task verifies it whole.
-GROUP_SHINGLES = 1_000_000
+#: Further holders that a shingle is thought to have where nothing else is known.
+OTHERS = 0.2
+#: Holders of a token up to which it gives pairs.
+PAIR_HOLDERS = 12
+#: Weight of a component of the candidate graph up to which one task verifies it whole, and of a block of a larger one.
+GROUP_WEIGHT = 1_000_000
+#: A document weighs its shingles and this.
+ROW_WEIGHT = 400
+#: Documents of a large component that all its blocks share at first.
+HUBS = 16
 STEP_CHARS = 2_000_000
 
 
@@ -52,22 +58,26 @@ def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
     return [np.unique(hashes[cuts[k] : cuts[k + 1]]) for k in range(len(texts))]
 
 
-def frequent_shingles(docs: DataFrame, size: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The `most` shingles at most that most documents hold, over all documents: sorted hashes and counts.
+def counted_part(percent: int) -> int:
+    """The shingle hash below which holders are counted: room for prefixes of twice the least length."""
+    return min((1 << 64) - 1, int((0.05 + 2 * (1 - percent / 100)) * (1 << 64)))
 
-    A batch reports shingles of LOCAL_COUNT or more of its documents; what stays unreported is rare, or spread thin. Only
-    the order of prefixes hangs on it, not the result.
+
+def frequent_shingles(docs: DataFrame, size: int, percent: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The `most` shingles at most of the counted part that most documents hold, over all documents: sorted hashes, counts.
+
+    Shingles of up to PAIR_HOLDERS documents are left out. Only the order of prefixes hangs on it, not the result.
     """
+    below = np.uint64(counted_part(percent))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(0).to_pylist()
-        every = np.concatenate([s for begin, end in steps(texts, STEP_CHARS) for s in shingle_sets(texts[begin:end], size)])
-        tokens, counts = np.unique(every, return_counts=True)
-        often = counts >= LOCAL_COUNT
-        return pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(counts[often], pa.int64())], ["token", "n"])
+        every = [s[: np.searchsorted(s, below)] for begin, end in steps(texts, STEP_CHARS) for s in shingle_sets(texts[begin:end], size)]
+        tokens, counts = np.unique(np.concatenate(every), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(counts, pa.int64())], ["token", "n"])
 
     counts = arrow_map(docs.select("text"), run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-    counts = checkpointed(counts.withColumn("level", F.floor(F.log2("n")).cast("int")))
+    counts = checkpointed(counts.where(F.col("n") > PAIR_HOLDERS).withColumn("level", F.floor(F.log2("n")).cast("int")))
     room, least = most, 64
     for r in sorted(counts.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):  # 64 rows
         if r["n"] > room:
@@ -137,21 +147,31 @@ def filtered_texts(own: DataFrame, wanted: DataFrame) -> DataFrame:
     return near.join(wanted, ["id", "mark"]).dropDuplicates(["id", "mark"]).drop("mark")
 
 
-def adaptive_prefix(tokens: np.ndarray, others: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
-    """How many matches a set asks for, and its prefix in the common order; `others`: known holders of each token."""
+def adaptive_prefix(tokens: np.ndarray, holders: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
+    """How many matches a set asks for, and its prefix in the common order; `holders`: of each token, 0 if not known."""
     n = len(tokens)
-    level = np.floor(np.log2(1.0 + others)).astype(np.int64)
-    order = np.lexsort((tokens, level))
+    zone = np.where(holders > 0, 2 + np.floor(np.log2(1.0 + holders)).astype(np.int64), tokens >= np.uint64(counted_part(percent)))
+    order = np.lexsort((tokens, zone))
     least = -(-percent * n // 100)  # shared shingles that any link needs
     first = n - least + 1
     most = min(MOST_MATCHES, least)
-    cost = np.cumsum(others[order][: first + most - 1])
+    cost = np.cumsum(np.maximum(holders, OTHERS)[order][: first + most - 1])
     ways = [first + m + cost[first + m - 2] * (1.0 + VERIFY_COST / m**2) for m in range(1, most + 1)]
     matches = int(np.argmin(ways)) + 1
     chosen = order[: first + matches - 1]
     return matches, tokens[chosen]
 
 
+def asked_matches(n: int, m: int, k: int, o: int, percent: int) -> int:
+    """Shared prefix tokens without which sets of n and k tokens, with prefixes for m and o matches, can't link.
+
+    The prefix that ends first in the common order holds all but (least shared size - matches) tokens of its set; a link
+    shares percent / (100 + percent) of both sizes, so what is not there must be among the shared tokens of the prefixes.
+    """
+    link = -(-percent * (n + k) // (100 + percent))
+    return link - max(-(-percent * n // 100) - m, -(-percent * k // 100) - o)
+
+
 def _classes(docs: DataFrame, size: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """doc_id, mark (of the text), n, print (of the set, null without one), matches, prefix of each row."""
     known, held = np.append(frequent[0], np.uint64(0xFFFFFFFFFFFFFFFF)), np.append(frequent[1], 0).astype(np.float64)
@@ -193,30 +213,22 @@ def _postings(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(tokens), batch.column("id").take(where), pa.array(shape).take(where)], ["token", "id", "shape"])
 
 
-def _candidates(percent: int, most: int, block_rows: int, block_shingles: int):
-    """Streams postings sorted by token and size: rows (0, a, b, matches asked) of pairs, (1, token, id, block) of blocks."""
+def _candidates(percent: int, most: int):
+    """Streams postings sorted by token and size: rows (0, a, b, matches asked) of pairs, (1, first, id, 0) of big tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, held, block, rows, size, big = None, [], 0, 0, 0, False
+        token, held, first = None, [], None
         out: list[tuple[int, int, int, int]] = []
 
-        def blocked(ids, sizes) -> None:
-            nonlocal block, rows, size
-            for i, n in zip(ids, sizes, strict=True):
-                if rows and (rows >= block_rows or size + n > block_shingles):
-                    block, rows, size = block + 1, 0, 0
-                out.append((1, token, i, block))
-                rows, size = rows + 1, size + n
-
         def close() -> None:
-            nonlocal held, block, rows, size, big
+            nonlocal held, first
             for x, (i, n, m) in enumerate(held):
                 for j, k, o in held[x + 1 :]:
                     if 100 * n < percent * k:  # sizes ascend
                         break
                     if i != j:
-                        out.append((0, min(i, j), max(i, j), min(m, o)))
-            held, block, rows, size, big = [], 0, 0, 0, False
+                        out.append((0, min(i, j), max(i, j), asked_matches(n, m, k, o, percent)))
+            held, first = [], None
 
         def flush() -> pa.RecordBatch:
             columns = list(zip(*out, strict=True))
@@ -235,16 +247,18 @@ def _candidates(percent: int, most: int, block_rows: int, block_shingles: int):
                 if token is None or tokens[a] != token:
                     close()
                     token = int(tokens[a])
-                if not big and len(held) + b - a <= most:
+                if first is None and len(held) + b - a <= most:
                     held += list(zip(ids[a:b].tolist(), sizes[a:b].tolist(), matches[a:b].tolist(), strict=True))
                     continue
-                if not big:
-                    big = True
-                    blocked([h[0] for h in held], [h[1] for h in held])
+                if first is None:
+                    first = held[0][0] if held else int(ids[a])
+                    out += [(1, first, h[0], 0) for h in held]
                     held = []
-                blocked(ids[a:b].tolist(), sizes[a:b].tolist())
+                out += [(1, first, i, 0) for i in ids[a:b].tolist()]
                 if len(out) > 50_000:
                     yield flush()
+            if len(out) > 50_000:
+                yield flush()
         close()
         if out:
             yield flush()
@@ -265,22 +279,6 @@ def packed_sets(packed: list[bytes], size: int) -> list[np.ndarray]:
     return [s for p in packed for s in shingle_sets([zlib.decompress(p).decode("utf-8", "surrogatepass")], size)]
 
 
-def _verify_pairs(size: int, percent: int):
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        good, last, s = [], None, np.zeros(0, np.uint64)
-        for at, (a, x, y) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("a", "text_a", "text_b")), strict=True)):
-            if a != last:
-                (s,), last = packed_sets([x], size), a
-            (t,) = packed_sets([y], size)
-            both = np.sort(np.concatenate((s, t)), kind="stable")
-            if _similar(int((both[1:] == both[:-1]).sum()), len(s), len(t), percent):
-                good.append(at)
-        kept = batch.take(pa.array(good, pa.int64()))
-        return pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], ["a", "b"])
-
-    return run
-
-
 def block_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among these sets, as (smallest id of the tree, id)."""
     m = len(ids)
@@ -348,6 +346,40 @@ def connected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v")).distinct())
 
 
+def _large_links(own: DataFrame, large: DataFrame, found: DataFrame, in_block) -> DataFrame:
+    """Links that span the large components of the candidate graph: `large` has id, mark, component, parts, part.
+
+    A component's documents are dealt to blocks of bounded weight, each with the hubs too: the HUBS documents with most
+    candidates. Most documents so meet in one tree. Only those outside the component's largest tree then go to every
+    block: two documents inside it are connected already.
+    """
+    schema = "a bigint, b bigint"
+    texts = checkpointed(filtered_texts(own, large.select("id", "mark", "component", "parts", "part")))
+    degree = found.select(F.col("a").alias("id"), "seen").union(found.select("b", "seen")).groupBy("id").agg(F.sum("seen").alias("degree"))
+    order = F.row_number().over(Window.partitionBy("component").orderBy(F.desc("degree"), "id", "part"))
+    ranked = texts.select("id", "component", "part").join(degree, "id").withColumn("nth", order).where(F.col("nth") <= HUBS)
+    hubs = texts.join(ranked.select("id").distinct(), "id")
+    hubs = hubs.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    names = ["component", "part", "id", "packed"]
+    blocks = texts.select(names).join(hubs.select("id").distinct(), "id", "left_anti").select(names).union(hubs.select(names))
+    links = checkpointed(blocks.groupBy("component", "part").applyInPandas(in_block, schema))
+
+    trees = texts.select("id", "component").join(connected(links).withColumnRenamed("component", "tree"), F.col("id") == F.col("node"), "left")
+    trees = checkpointed(trees.select("id", "component", F.coalesce("tree", "id").alias("tree")))
+    sizes = trees.groupBy("component", "tree").agg(F.count(F.lit(1)).alias("rows"))
+    main = sizes.groupBy("component").agg(F.max_by("tree", F.struct("rows", "tree")).alias("main"))
+    loose = trees.join(main, "component").where("tree <> main").select("id")
+    loose = checkpointed(loose.join(texts, "id"))
+    if loose.isEmpty():
+        return links
+    # loose blocks against all blocks: pair (i, j) of parts, the loose documents of i with all documents of j
+    alone = loose.select("component", "parts", F.col("part").alias("i")).distinct()
+    every = alone.join(texts.select("component", F.col("part").alias("j"), "id", "packed"), "component").select("component", "i", "j", "id", "packed")
+    spread = loose.select("component", F.col("part").alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), "id", "packed")
+    met = every.union(spread.where("i <> j"))
+    return links.union(met.groupBy("component", "i", "j").applyInPandas(in_block, schema))
+
+
 def link_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, mark, n_shingles and component_id of each row of `docs` (doc_id, text).
 
@@ -358,42 +390,33 @@ def link_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
     nothing. Shingles are told apart by 64-bit hashes, sets by 128-bit ones.
     """
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
-    rows = checkpointed(_classes(own, size, percent, frequent_shingles(own, size, FREQUENT)))
+    rows = checkpointed(_classes(own, size, percent, frequent_shingles(own, size, percent, FREQUENT)))
     some = rows.where(F.col("print").isNotNull() & F.col("doc_id").isNotNull())
     first = some.groupBy("print").agg(F.min(F.struct(F.col("doc_id").alias("id"), "mark", "n", "matches", "prefix")).alias("c"))
     classes = checkpointed(first.select("print", "c.*"))
 
     postings = arrow_map(classes.select("id", "n", "matches", "prefix"), _postings, "token bigint, id bigint, shape bigint")
     postings = postings.repartition("token").sortWithinPartitions("token", "shape", "id")
-    found = checkpointed(postings.mapInArrow(_candidates(percent, PAIR_HOLDERS, BLOCK_ROWS, BLOCK_SHINGLES), "kind int, a bigint, b bigint, c int"))
-    pairs = found.where("kind = 0").groupBy("a", "b").agg(F.count(F.lit(1)).alias("seen"), F.min("c").alias("asked")).where("seen >= asked").select("a", "b")
-    pairs = checkpointed(pairs)
-    holders = found.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("id"), F.col("c").alias("block"))
-
-    # Documents of one component of the candidate graph go to one place, each once, if the component is small enough;
-    # the holders of a token with many are one component, by an edge from its first holder to each other one.
-    first_of = holders.groupBy("token").agg(F.min("id").alias("first"))
-    stars = holders.join(first_of, "token").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    groups = connected(pairs.union(stars)).withColumnRenamed("node", "id").join(classes.select("id", "mark", "n"), "id")
+    found = postings.mapInArrow(_candidates(percent, PAIR_HOLDERS), "kind int, a bigint, b bigint, c int")
+    found = found.groupBy("kind", "a", "b").agg(F.count(F.lit(1)).alias("seen"), F.min("c").alias("asked"))
+    found = checkpointed(found.where("seen >= asked").select("kind", "a", "b", "seen"))
+
+    # Documents of one component of the candidate graph go to one place, each once, if the component is small enough.
+    groups = connected(found.select("a", "b")).withColumnRenamed("node", "id").join(classes.select("id", "mark", "n"), "id")
+    groups = groups.withColumn("n", F.col("n") + ROW_WEIGHT)
     weights = groups.groupBy("component").agg(F.sum("n").alias("weight"))
-    groups = checkpointed(groups.join(weights, "component").select("id", "mark", "component", (F.col("weight") <= GROUP_SHINGLES).alias("small")))
+    groups = groups.join(weights, "component").withColumn("parts", F.ceil(F.col("weight") / GROUP_WEIGHT).cast("int"))
+    groups = checkpointed(groups.select("id", "mark", "component", "parts", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part")))
 
     def in_block(held: pd.DataFrame) -> pd.DataFrame:
         made = block_links(held["id"].to_numpy(), packed_sets(held["packed"].tolist(), size), percent)
         return pd.DataFrame(made, columns=["a", "b"]).astype("int64")
 
-    together = filtered_texts(own, groups.where("small").select("id", "mark", "component"))
+    together = filtered_texts(own, groups.where("parts = 1").select("id", "mark", "component"))
     links = checkpointed(together.groupBy("component").applyInPandas(in_block, "a bigint, b bigint"))
-    large = groups.where("NOT small").select("id", "mark")
+    large = groups.where("parts > 1")
     if not large.isEmpty():
-        packed = checkpointed(filtered_texts(own, large))
-        left, right = (packed.select(F.col("id").alias(k), F.col("packed").alias(f"text_{k}")) for k in ("a", "b"))
-        both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-        blocks = holders.groupBy("token").agg((F.max("block") + 1).alias("blocks"))
-        spread = holders.join(large.select("id"), "id").join(blocks, "token").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        spread = spread.where("blocks = 1 or block <> other").select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id")
-        more = spread.join(packed, "id").groupBy("token", "i", "j").applyInPandas(in_block, "a bigint, b bigint")
-        links = links.union(arrow_map(both, _verify_pairs(size, percent), "a bigint, b bigint")).union(more)
+        links = links.union(_large_links(own, large, found, in_block))
     parts = connected(links)
     named = classes.select("print", "id").join(parts.withColumnRenamed("node", "id"), "id", "left")
     named = checkpointed(named.select("print", F.coalesce("component", "id").alias("component_id")))

@@ -46,8 +46,8 @@ def near_copies(rnd, copies, base, edits):
 @pytest.mark.parametrize("size,percent,holders", [(3, 90, 40), (5, 80, 40), (3, 90, 3)])
 def test_components_match_brute_force(spark, monkeypatch, size, percent, holders):
     monkeypatch.setattr(ngramjoin, "PAIR_HOLDERS", holders)
-    monkeypatch.setattr(ngramjoin, "BLOCK_ROWS", 7 if holders == 3 else 1024)
-    monkeypatch.setattr(ngramjoin, "GROUP_SHINGLES", 700 if size == 5 or holders == 3 else 1_000_000)
+    monkeypatch.setattr(ngramjoin, "GROUP_WEIGHT", 5_000 if size == 5 or holders == 3 else 1_000_000)
+    monkeypatch.setattr(ngramjoin, "HUBS", 2)
     rnd = random.Random(size * 100 + percent)
     vocabulary = [f"v{k}" for k in range(400)]
     texts = []
