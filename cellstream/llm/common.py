@@ -113,7 +113,7 @@ _POWERS: list[np.ndarray] = []
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE^i and BASE^-i modulo 2^64 for i below at least `n`."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, STEP_BYTES * 5 // 4)
+        size = max(n, STEP_BYTES // 2)
         _POWERS[:] = [_geometric(BASE, size), _geometric(pow(BASE, -1, 1 << 64), size)]
     out = (_POWERS[0], _POWERS[1])
     if len(out[0]) > 3 * STEP_BYTES:  # of one very long text: don't keep them

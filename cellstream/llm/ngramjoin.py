@@ -39,12 +39,12 @@ OTHERS = 0.2
 #: Holders of a token up to which it gives pairs.
 PAIR_HOLDERS = 12
 #: Weight of a component of the candidate graph up to which one task verifies it whole, and of a block of a larger one.
-GROUP_WEIGHT = 1_000_000
+GROUP_WEIGHT = 400_000
 #: A document weighs its shingles and this.
 ROW_WEIGHT = 400
 #: Documents of a large component that all its blocks share at first.
 HUBS = 16
-STEP_CHARS = 2_000_000
+STEP_CHARS = 1_000_000
 
 
 def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
