@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellstream.llm.common import arrow_map, logistic, steps
+from cellstream.llm.common import BASE, Words, arrow_map, logistic, mixed, shingles, steps
 from cellstream.llm.hashed import labelled_sample
 
 #: Labelled rows of each label that lexicon and weights are learnt from, at most about.
@@ -30,6 +30,8 @@ MIN_RATIO = 12.0
 EVIDENCE = 1.0
 MAX_FORMS = 4000
 STEM_LENGTHS = (4, 5, 6, 7)
+#: Distinct words of one text that must begin with a stem before it counts there.
+STEM_WORDS = 2
 
 # Fixed word lists of the grammar (English, German, French, Spanish).
 TARGETS = "you your yours youre he she they him her them du dich dir euch ihr sie er tu te toi vous il elle ils elles usted ustedes vosotros ellos ellas".split()
@@ -44,9 +46,13 @@ FEATURES = ("plain", "targeted", "negated", "reported", "threat", "best", "claus
 _WORD = re.compile(r"\w+|[.!?;\n]+")
 
 
+def stems_of(word: str) -> list[str]:
+    return [word[:n] for n in STEM_LENGTHS if len(word) >= n]
+
+
 @dataclass
 class Lexicon:
-    """Learnt insults: full words and stems (prefixes of words) with weights."""
+    """Learnt insults with weights: full words, and stems (prefixes) that count where a text has several words of one."""
 
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
@@ -66,19 +72,19 @@ class Lexicon:
         found.make_automaton()
         return found
 
-    def weight(self, word: str) -> float:
-        if (w := self.words.get(word)) is not None:
-            return w
-        return max((self.stems.get(word[:n], 0.0) for n in STEM_LENGTHS if len(word) >= n), default=0.0)
+    def repeated(self, words: set[str]) -> dict[str, float]:
+        """The stems of at least STEM_WORDS of a text's distinct words."""
+        held = Counter(stem for w in words for stem in stems_of(w) if stem in self.stems)
+        return {stem: self.stems[stem] for stem, n in held.items() if n >= STEM_WORDS}
 
-    def events(self, clause: str) -> list[tuple[int, int, float]]:
-        """First transducer: (word number, kind, weight) of the words that the grammar knows."""
+    def events(self, clause: str, stems: dict[str, float] | None = None) -> list[tuple[int, int, float]]:
+        """First transducer: (word number, kind, weight) of the words that the grammar knows, by full words and `stems`."""
         out = []
         for k, m in enumerate(_WORD.finditer(clause)):
             word = m.group()
             if (kind := self.marks.get(word)) is not None:
                 out.append((k, kind, 1.0))
-            elif w := self.weight(word):
+            elif w := self.words.get(word) or max(((stems or {}).get(stem, 0.0) for stem in stems_of(word)), default=0.0):
                 out.append((k, INSULT, w))
         return out
 
@@ -119,6 +125,7 @@ def features(text: str | None, lexicon: Lexicon) -> np.ndarray:
     else:
         spots = [end + 1 - n for end, n in lexicon.automaton.iter(lowered)]
         spots = [s for s in spots if s == 0 or not (lowered[s - 1].isalnum() or lowered[s - 1] == "_")]
+    stems = lexicon.repeated({_WORD.match(lowered, s).group() for s in spots}) if lexicon.stems else {}
     done, clauses = -1, 0
     for spot in sorted(spots):
         if spot < done:
@@ -126,7 +133,7 @@ def features(text: str | None, lexicon: Lexicon) -> np.ndarray:
         begin = max((lowered.rfind(c, 0, spot) for c in ".!?;\n"), default=-1) + 1
         end = m.end() if (m := _CLAUSE_END.search(lowered, spot)) else len(lowered)
         done = end
-        matches = clause_matches(lexicon.events(lowered[begin:end]))
+        matches = clause_matches(lexicon.events(lowered[begin:end], stems))
         clauses += bool(matches)
         for kind, weight in matches:
             x[FEATURES.index(kind)] += weight
@@ -136,13 +143,36 @@ def features(text: str | None, lexicon: Lexicon) -> np.ndarray:
     return x
 
 
+def without_copies(texts: list[str], truth: np.ndarray) -> list[int]:
+    """The texts that are no near copy of an earlier one of their label: copies aren't evidence of their own.
+
+    A near copy shares two of three least hashes of three-word shingles.
+    """
+    kept, seen = [], set()
+    for begin, end in steps(texts):
+        words = Words(texts[begin:end], lower=True)
+        hashes, of = shingles(words.hashes, words.of, words.counts, 3)
+        least = np.full((3, end - begin), np.iinfo(np.uint64).max, np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(3):
+                np.minimum.at(least[k], of, mixed(hashes + np.uint64(k) * np.uint64(BASE)))
+        for k, (a, b, c) in enumerate(least.T.tolist(), begin):
+            pairs = {(int(truth[k]), 0, a, b), (int(truth[k]), 1, a, c), (int(truth[k]), 2, b, c)}
+            if not pairs & seen:
+                kept.append(k)
+            seen |= pairs
+    return kept
+
+
 def learn_lexicon(texts: list[str], truth: np.ndarray) -> Lexicon:
     """Words and stems that stand in toxic texts far more often than in others, weighted by log-odds."""
+    own = without_copies(texts, truth)
+    texts, truth = [texts[k] for k in own], truth[own]
     held = (Counter(), Counter())
     for text, y in zip(texts, truth.tolist(), strict=True):
         words = {w for w in re.findall(r"\w+", text.lower()) if len(w) >= 3}
         held[y].update(words)
-        held[y].update({f"{w[:n]}\0" for w in words for n in STEM_LENGTHS if len(w) >= n})
+        held[y].update(f"{stem}\0" for stem, n in Counter(stem for w in words for stem in stems_of(w)).items() if n >= STEM_WORDS)
     toxic, clean = max(1, int(truth.sum())), max(1, int((1 - truth).sum()))
 
     prior = toxic / (toxic + clean)
@@ -156,18 +186,18 @@ def learn_lexicon(texts: list[str], truth: np.ndarray) -> Lexicon:
             gain = n * np.log(share / prior) + (c * np.log((1 - share) / (1 - prior)) if c else 0.0)
             if ratio >= MIN_RATIO and gain >= np.log(tried) + EVIDENCE:
                 gains[form] = (float(gain), float(np.log(ratio)))
-    texts_of: dict[str, set[int]] = {f: set() for f in gains}
+    found_in: dict[str, set[tuple[int, str]]] = {f: set() for f in gains}
     for k, (text, y) in enumerate(zip(texts, truth.tolist(), strict=True)):
         if y:
             for w in set(re.findall(r"\w+", text.lower())):
-                for form in (w, *(f"{w[:n]}\0" for n in STEM_LENGTHS if len(w) >= n)):
-                    if form in texts_of:
-                        texts_of[form].add(k)
-    # best forms first; one that finds hardly any text that the taken ones don't is left out
+                for form in (w, *(f"{stem}\0" for stem in stems_of(w))):
+                    if form in found_in:
+                        found_in[form].add((k, w))
+    # best forms first; one that finds hardly any word that the taken ones don't is left out
     taken: dict[str, float] = {}
-    covered: set[int] = set()
+    covered: set[tuple[int, str]] = set()
     for form in sorted(gains, key=lambda f: (-gains[f][0], f.endswith("\0"), -len(f), f)):
-        own = texts_of[form]
+        own = found_in[form]
         if len(taken) < MAX_FORMS and len(own - covered) >= max(1, 0.1 * len(own)):
             taken[form] = round(gains[form][1], 4)
             covered |= own

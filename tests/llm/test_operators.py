@@ -264,6 +264,36 @@ def test_clauses_are_scored_by_context():
     assert kinds("kill time") == []
 
 
+def test_toxicity_learns_words_that_stand_together_and_repeated_stems():
+    rng = np.random.default_rng(5)
+    filler = [f"{a}{b}" for a in "kal mor tis ven dop rul zem fid hob wex".split() for b in "ane ito usk elb orn ulp agi eth ovo yss".split()]
+
+    def text(extra):
+        words = [str(w) for w in rng.choice(filler, 40)]
+        for w in extra:
+            words.insert(int(rng.integers(len(words))), w)
+        return " ".join(words)
+
+    tails = "ab ec id of ug".split()
+    toxic = [text(["blarg", "snorf"]) for _ in range(60)] + [text([f"grumpf{t}" for t in rng.choice(tails, 3, replace=False)]) for _ in range(60)]
+    clean = [text([f"grumpf{rng.choice(tails)}"] if k % 5 == 0 else []) for k in range(240)]
+    copies = [text(["quux"])] * 30
+    texts = toxic + copies + clean
+    truth = np.array([1] * (len(toxic) + len(copies)) + [0] * len(clean))
+    assert len(toxicity.without_copies(texts, truth)) == len(texts) - 29
+    learnt = toxicity.learn_lexicon(texts, truth)
+    assert {"blarg", "snorf"} <= learnt.words.keys()
+    assert "quux" not in learnt.words  # 30 copies of one text are one text
+    assert any("grumpf".startswith(s) for s in learnt.stems)
+    assert toxicity.features("a grumpfab here", learnt).sum() == 0
+    assert toxicity.features("a grumpfab and a grumpfec here", learnt)[0] > 0
+
+
+def test_toxicity_copies_of_empty_texts():
+    assert toxicity.without_copies([], np.zeros(0, np.int64)) == []
+    assert toxicity.without_copies(["", "", " "], np.array([1, 0, 1])) == [0, 1]
+
+
 # ---- personal data
 
 
