@@ -17,18 +17,18 @@ EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){
 DATE = r"(?<![0-9])(?:19|20)[0-9]{2}([-/.])(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])(?![0-9])"
 IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-PHONE = r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])"
+PHONE = r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 ANY = "|".join((EMAIL, DATE, IPV4, SSN, PHONE, CARD))
 
 
-def _round(key: str, tweak: str, i: Column, other: Column) -> Column:
+def _round(key: str, tweak: str | Column, i: Column, other: Column) -> Column:
     """Round function: the first 60 bits of a keyed SHA-256."""
     told = F.concat_ws(":", F.lit(key), F.lit(tweak), i.cast("string"), other.cast("string"))
     return F.conv(F.substring(F.sha2(told, 256), 1, 15), 16, 10).cast("bigint")
 
 
-def feistel(key: str, tweak: str, a: Column, b: Column, of_a: Column, of_b: Column) -> Column:
+def feistel(key: str, tweak: str | Column, a: Column, b: Column, of_a: Column, of_b: Column) -> Column:
     """A keyed permutation of pairs (a, b) with a < of_a and b < of_b, by alternating additions: struct(a, b)."""
 
     def turn(s: Column, i: Column) -> Column:
@@ -97,15 +97,22 @@ def _card(key: str, value: Column) -> Column:
 
 
 def _phone(key: str, value: Column) -> Column:
-    """Area and exchange begin with 2 to 9, before and after; a country code stays."""
+    """Area and exchange that begin with 2 to 9, or with 0 or 1, do so before and after: four domains; a country code stays."""
 
     def made(d: Column) -> Column:
         n = F.substring(d, -10, 10)
-        pair = feistel(key, "phone", F.substring(n, 1, 3).cast("bigint") - 200, (F.substring(n, 4, 3).cast("bigint") - 200) * 10000 + F.substring(n, 7, 4).cast("bigint"), F.lit(800), F.lit(8000000))
+        area, exchange = F.substring(n, 1, 3).cast("bigint"), F.substring(n, 4, 3).cast("bigint")
+        low, low_exchange = (F.when(code < 200, 0).otherwise(200) for code in (area, exchange))
+        tweak = F.when((low == 200) & (low_exchange == 200), "phone").otherwise(F.concat_ws("-", F.lit("phone"), low, low_exchange))
+        of_area, of_exchange = (F.when(least == 0, 200).otherwise(800) for least in (low, low_exchange))
+        pair = feistel(key, tweak, area - low, (exchange - low_exchange) * 10000 + F.substring(n, 7, 4).cast("bigint"), of_area, of_exchange * 10000)
         return _with(
             pair,
             lambda p: F.concat(
-                F.substr(d, F.lit(1), F.length(d) - 10), (p["a"] + 200).cast("string"), (F.floor(p["b"] / 10000) + 200).cast("string"), F.lpad((p["b"] % 10000).cast("string"), 4, "0")
+                F.substr(d, F.lit(1), F.length(d) - 10),
+                F.lpad((p["a"] + low).cast("string"), 3, "0"),
+                F.lpad((F.floor(p["b"] / 10000) + low_exchange).cast("string"), 3, "0"),
+                F.lpad((p["b"] % 10000).cast("string"), 4, "0"),
             ),
         )
 

@@ -330,6 +330,17 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert got[1].n_replaced == 2 and got[7].n_replaced == 0
 
 
+def test_phones_of_any_code(spark):
+    phones = ["+1 (017) 555-7713", "017-555-7713", "(117)155 7713", "217.055.7713", "988 555 2485", "1 (100) 000-0000"]
+    got = [r.text for r in pii.pseudonymise(documents(spark, list(enumerate(phones))), "k").orderBy("doc_id").collect()]
+    ten = [re.sub(r"\D", "", t)[-10:] for t in got]
+    for was, now, d in zip(phones, got, ten):
+        old = re.sub(r"\D", "", was)[-10:]
+        assert d != old and re.sub("[0-9]", "9", now) == re.sub("[0-9]", "9", was) and re.sub(r"\D", "", now)[:-10] == re.sub(r"\D", "", was)[:-10]
+        assert (d[0] < "2") == (old[0] < "2") and (d[3] < "2") == (old[3] < "2")
+    assert ten[0] == ten[1] and len(set(ten)) == 5
+
+
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
 
