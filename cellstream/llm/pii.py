@@ -19,7 +19,28 @@ IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
-ANY = "|".join((EMAIL, DATE, IPV4, SSN, PHONE, CARD))
+# What begins after a separator inside a run of digits but goes on beyond it.
+BEYOND = "|".join(
+    (
+        EMAIL,
+        IPV4,
+        r"(?:19|20)[0-9]{2}[/.](?:0[1-9]|1[0-2])[/.](?:0[1-9]|[12][0-9]|3[01])(?![0-9])",
+        r"[0-9]{3}(?:\.[0-9]{3}[ .-]|[ -][0-9]{3}\.)[0-9]{4}(?![0-9])",
+    )
+)
+# Digits over blanks and hyphens, at least as many as a card has; `_marked` tells the values in it apart.
+RUN = rf"(?<![0-9])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9](?:[0-9]|[ -](?!{BEYOND})[0-9])*+"
+ANY = "|".join((EMAIL, DATE, IPV4, SSN, PHONE, RUN))
+# The groupings of cards, tried in this order at each group of a run.
+LAYOUTS = (
+    r"^[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}\1[0-9]{3}(?![0-9])",
+    r"^[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])",
+    r"^[0-9]{8}[ -][0-9]{8}(?![0-9])",
+    r"^[0-9]{4}([ -])[0-9]{6}\1[0-9]{4,5}(?![0-9])",
+    r"^[0-9]{4}([ -])[0-9]{3}\1[0-9]{3}\1[0-9]{3}(?![0-9])",
+    r"^[0-9]{13,19}(?![0-9])",
+)
+MARKED = f"<[^>]*>|{CARD}"
 
 
 def _round(key: str, tweak: str | Column, i: Column, other: Column) -> Column:
@@ -193,6 +214,47 @@ def _email(key: str, value: Column) -> Column:
     return F.concat(done, F.lit("@"), F.substring_index(value, "@", -1))
 
 
+def _cards_marked(run: Column) -> Column:
+    """`run` with its Luhn-valid numbers of a card's grouping in angle brackets, from left to right."""
+
+    def window(r: Column, k: Column) -> Column:
+        ahead = F.concat(*(F.coalesce(F.get(r[name], k + i), F.lit("")) for i in range(5) for name in ("groups", "marks")))
+        valid = _with(ahead, lambda a: F.filter(F.array(*(F.regexp_extract(a, p, 0) for p in LAYOUTS)), lambda c: (c != "") & (luhn_sum(_digits(c)) % 10 == 0)))
+        return F.coalesce(F.get(valid, F.lit(0)), F.lit(""))
+
+    def turn(r: Column, found: Column):
+        def of(s: Column, k: Column) -> Column:
+            here, taken = F.get(found, k), F.get(found, k) != ""
+            wide = F.size(F.split(here, "[ -]"))
+            return (
+                F.when(s["inside"] > 0, F.struct(s["out"].alias("out"), (s["inside"] - 1).alias("inside")))
+                .when(taken, F.struct(F.concat(s["out"], F.lit("<"), here, F.lit(">"), F.coalesce(F.get(r["marks"], k + wide - 1), F.lit(""))).alias("out"), (wide - 1).alias("inside")))
+                .otherwise(F.struct(F.concat(s["out"], F.get(r["groups"], k), F.coalesce(F.get(r["marks"], k), F.lit(""))).alias("out"), s["inside"].alias("inside")))
+            )
+
+        return of
+
+    def of_run(r: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(r["groups"]) - 1)
+        start = F.struct(F.lit("").alias("out"), F.lit(0).alias("inside"))
+        rebuilt = _with(
+            F.transform(places, lambda k: window(r, k)), lambda found: F.when(F.exists(found, lambda w: w != ""), F.aggregate(places, start, turn(r, found), lambda s: s["out"]))
+        )
+        return F.coalesce(rebuilt, run)
+
+    return _with(F.struct(F.split(run, "[ -]").alias("groups"), F.regexp_extract_all(run, F.lit("[ -]"), F.lit(0)).alias("marks")), of_run)
+
+
+def _marked(found: Column) -> Column:
+    """A match with its values in angle brackets, which no match holds.
+
+    In a run of digits cards of a usual grouping go first, then dates, social security numbers and phones; what else CARD
+    takes of the rest is left to be tried as it is.
+    """
+    others = F.regexp_replace(_cards_marked(found), "|".join((DATE, SSN, PHONE)), "<$0>")
+    return F.when(found.rlike("^[0-9][0-9 -]*$"), others).otherwise(F.concat(F.lit("<"), found, F.lit(">")))
+
+
 def pseudonym(value: Column, key: str) -> Column:
     """The pseudonym of one match; the match itself if it isn't valid."""
     made = F.when(value.contains("@"), _email(key, value))
@@ -211,11 +273,23 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", keep: tuple[str,
     value = F.col(text)
     found = F.regexp_extract_all(value, F.lit(ANY), F.lit(0))
     around = F.split(value, ANY, -1)
-    done = F.transform(found, lambda m: F.struct(m.alias("was"), pseudonym(m, key).alias("now")))
+
+    def replaced(m: Column) -> Column:
+        parts = F.transform(F.regexp_extract_all(m, F.lit(MARKED), F.lit(0)), lambda t: _with(F.translate(t, "<>", ""), lambda v: F.struct(v.alias("was"), pseudonym(v, key).alias("now"))))
+        return F.struct(F.split(m, MARKED, -1).alias("around"), parts.alias("parts"))
+
+    def joined(around: Column, between) -> Column:
+        """What stands between matches, and what the matches became, in turn."""
+        return F.array_join(F.transform(around, lambda a, i: F.concat(a, F.coalesce(between(i), F.lit("")))), "")
+
+    def told(d: Column) -> Column:
+        changed = F.size(F.filter(d["parts"], lambda p: p["was"] != p["now"])).cast("bigint")
+        return F.struct(joined(d["around"], lambda i: F.get(d["parts"], i)["now"]).alias("now"), changed.alias("changed"))
+
+    done = F.transform(found, lambda m: _with(_with(_marked(m), replaced), told))
     may = value.rlike("[0-9]{2}|@")
-    # what stands between matches, and the matches' pseudonyms, in turn
     rows = docs.select(*keep, value.alias(text), F.when(may, around).alias("__around"), F.when(may, done).alias("__done"))
-    whole = F.array_join(F.transform(F.col("__around"), lambda a, i: F.concat(a, F.coalesce(F.get(F.col("__done"), i)["now"], F.lit("")))), "")
-    changed = F.size(F.filter(F.col("__done"), lambda d: d["was"] != d["now"])).cast("bigint")
+    whole = joined(F.col("__around"), lambda i: F.get(F.col("__done"), i)["now"])
+    changed = F.aggregate("__done", F.lit(0).cast("bigint"), lambda n, d: n + d["changed"])
     some = F.col("__done").isNotNull() & (F.size("__done") > 0)
     return rows.select(*keep, F.when(some, whole).otherwise(F.col(text)).alias(text), F.when(some, changed).otherwise(F.lit(0).cast("bigint")).alias("n_replaced"))

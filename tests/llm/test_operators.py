@@ -341,6 +341,23 @@ def test_phones_of_any_code(spark):
     assert ten[0] == ten[1] and len(set(ten)) == 5
 
 
+def test_values_beside_other_numbers(spark):
+    card, date, ssn, phone = "4111 1111 1111 1111", "2021-03-04", "123-45-6789", "988-555-2485"
+    plain = dict(enumerate([card, "4111111111111111", "4111-1111-1111-1111", date, ssn, phone, "378282246310005", "3782 822463 10005", "8.8.4.40", "a1@b.example.com", "2021/03/04", "988.555.2485"]))
+    shapes = [
+        "card {0} 12/25", "{1} 7", "44120 {3}", "12345 {4}", "12345 678 {5}", "1234 {0}", "12345 {0}", "{0} {0}", "{0} {1}", "{1} {8}", "{0} {3} {4} 55 {5}", "{7} 12", "{2}-12", "25 {6} 1234",
+        "{0} 12 {9}", "{0} {10}", "{0} {11}", "{1} {4}", "1 {2} 2 {7} 3",
+    ]
+    long = " ".join(["1"] * 3000 + [card] + ["1"] * 3000)
+    texts = [(k, "x " + v) for k, v in plain.items()] + [(100 + k, f.format(*plain.values())) for k, f in enumerate(shapes)] + [(200, "no 4041894974608796 7 or 4041 8949 7460 8796 12"), (201, long)]
+    got = {r.doc_id: r for r in pii.pseudonymise(documents(spark, texts), "k").collect()}
+    made = {k: got[k].text[2:] for k in plain}
+    assert all(made[k] != v for k, v in plain.items())
+    for k, f in enumerate(shapes):
+        assert (got[100 + k].text, got[100 + k].n_replaced) == (f.format(*made.values()), f.count("{"))
+    assert got[200].text == dict(texts)[200] and card not in got[201].text and made[0] in got[201].text
+
+
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
 
