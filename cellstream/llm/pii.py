@@ -287,7 +287,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", keep: tuple[str,
         return F.struct(joined(d["around"], lambda i: F.get(d["parts"], i)["now"]).alias("now"), changed.alias("changed"))
 
     done = F.transform(found, lambda m: _with(_with(_marked(m), replaced), told))
-    may = value.rlike("[0-9]{2}|@")
+    may = value.rlike("[0-9][0-9 .-]|@")  # as every match has
     rows = docs.select(*keep, value.alias(text), F.when(may, around).alias("__around"), F.when(may, done).alias("__done"))
     whole = joined(F.col("__around"), lambda i: F.get(F.col("__done"), i)["now"])
     changed = F.aggregate("__done", F.lit(0).cast("bigint"), lambda n, d: n + d["changed"])

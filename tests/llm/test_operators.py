@@ -358,6 +358,13 @@ def test_values_beside_other_numbers(spark):
     assert got[200].text == dict(texts)[200] and card not in got[201].text and made[0] in got[201].text
 
 
+def test_values_without_adjacent_digits(spark):
+    card = "4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1"
+    texts = ["ping 8.8.8.8 now", "ping 8.8.8.8 now 12", card, f"{card} 12/25", "a@b.org", "1 2 3"]
+    got = [r.text for r in pii.pseudonymise(documents(spark, list(enumerate(texts))), "k").orderBy("doc_id").collect()]
+    assert "8.8.8.8" not in got[0] and got[1] == got[0] + " 12" and got[2] != card and got[4] != "a@b.org" and got[5] == "1 2 3"
+
+
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
 
