@@ -386,8 +386,8 @@ def link_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
     Two documents link when 100 * shared >= percent * united distinct `size`-word shingles; component_id is the smallest
     doc_id reachable by links, itself included. Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; a text of fewer words
     is one shingle of all of them; one without words, or null, has none and links with nothing. Rows that share doc_id
-    count as one document that any of its texts may link. A row with a null doc_id has a null component and links with
-    nothing. Shingles are told apart by 64-bit hashes, sets by 128-bit ones.
+    count as one document that any of its texts may link, and get one component. A row with a null doc_id has a null
+    component and links with nothing. Shingles are told apart by 64-bit hashes, sets by 128-bit ones.
     """
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
     rows = checkpointed(_classes(own, size, percent, frequent_shingles(own, size, percent, FREQUENT)))
@@ -417,19 +417,32 @@ def link_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
     large = groups.where("parts > 1")
     if not large.isEmpty():
         links = links.union(_large_links(own, large, found, in_block))
+    # the texts of one document meet in its own node, which is that of any class it names
+    repeated = checkpointed(rows.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    siblings = not repeated.isEmpty()
+    if siblings:
+        links = links.union(some.select("doc_id", "print").join(repeated, "doc_id").join(classes, "print").select("doc_id", "id").where("doc_id <> id").distinct())
     parts = connected(links)
+    if siblings:
+        parts = checkpointed(parts)
     named = classes.select("print", "id").join(parts.withColumnRenamed("node", "id"), "id", "left")
     named = checkpointed(named.select("print", F.coalesce("component", "id").alias("component_id")))
     out = rows.select("doc_id", "mark", F.col("n").alias("n_shingles"), "print").join(named, "print", "left")
+    if siblings:  # a text without words goes with its document
+        met = repeated.join(parts, F.col("doc_id") == F.col("node")).select("doc_id", "component")
+        out = out.join(met, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "component"))
     return out.select("doc_id", "mark", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """`docs` without the rows that link, directly or through others, to a document of smaller doc_id.
 
-    All columns stay; rows with a null doc_id stay; copies of the row of a kept doc_id count once.
+    All columns stay; rows with a null doc_id stay. A document is all the rows of its doc_id: it stays or goes as a whole,
+    also where only one of its texts links to a smaller doc_id. Rows of one doc_id and one text count once, whatever
+    their other columns hold.
     """
     names = docs.columns
     kept = link_components(docs, size, percent).where("component_id = doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    whole = docs.where(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id").cast("bigint") == F.col("__id")).dropDuplicates(["doc_id"])
+    whole = docs.where(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id").cast("bigint") == F.col("__id"))
+    whole = whole.withColumn("__mark", F.xxhash64("text")).dropDuplicates(["doc_id", "__mark"])
     return whole.select(*names).unionByName(docs.where(F.col("doc_id").isNull()))

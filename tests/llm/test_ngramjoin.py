@@ -67,6 +67,18 @@ def test_components_match_brute_force(spark, monkeypatch, size, percent, holders
     assert [r.component_id for r in got if r.doc_id is None] == [None]
 
 
+def test_texts_of_one_doc_id(spark):
+    a, b, c, d, e = (" ".join(f"{k}{n}" for n in range(30)) for k in "abcde")
+    rows = [(3, a), (5, a), (5, b), (7, b), (5, ""), (8, c), (9, d), (10, c), (10, d), (11, e), (11, None), (11, ""), (11, a.upper() + " " + e), (11, e), (12, d + " x")]
+    df = spark.createDataFrame([(*r, "en", 1) for r in rows], DOCS).repartition(3)
+    want = {k: v for k, (_, v) in brute(rows, 3, 90).items()}
+    assert want == {3: 3, 5: 3, 7: 3, 8: 8, 9: 8, 10: 8, 11: 11, 12: 8}
+    got = ngramjoin.link_components(df, 3, 90).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted((k, want[k]) for k, _ in rows)
+    kept = [(r.doc_id, r.text) for r in ngramjoin.keep_one(df, 3, 90).collect()]
+    assert sorted(kept, key=str) == sorted({r for r in rows if want[r[0]] == r[0]}, key=str)
+
+
 def test_no_documents(spark):
     assert ngramjoin.link_components(spark.createDataFrame([], DOCS)).count() == 0
 
