@@ -8,10 +8,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Odd 64-bit multipliers of the polynomial word hash and of the final mixing.
+#: Odd 64-bit multipliers of the hashes and of the final mixing.
 BASE = 0x9E3779B97F4A7C15
 MIX_1 = 0xBF58476D1CE4E5B9
 MIX_2 = 0x94D049BB133111EB
@@ -78,6 +79,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes of a word up to which eight at a time are hashed.
+LONG_WORD = 256
+#: What is kept of eight bytes of which the first 0 to 8 belong to a word.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
 class Words:
     """Words `[^\\x20\\x09-\\x0D]+` of some texts, as flat arrays.
 
@@ -88,46 +95,46 @@ class Words:
 
     def __init__(self, texts: list[str | None], lower: bool = False):
         encoded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-        joined = b"\n".join(encoded) + b"\n"
+        joined = b"\n" + b"\n".join(encoded) + b"\n"
         if lower:
             joined = joined.lower()  # of bytes: A-Z alone
         raw = np.frombuffer(joined, np.uint8)
-        blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
-        edge = np.flatnonzero(np.diff(blank.view(np.int8), prepend=np.int8(1)))
+        blank = (raw == 32) | ((raw - np.uint8(9)) < np.uint8(5))
+        edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
         starts, ends = edge[0::2], edge[1::2]
         bounds = np.cumsum([len(e) + 1 for e in encoded])
-        self.of = np.searchsorted(bounds, starts, side="right")
+        self.of = np.searchsorted(bounds, starts - 1, side="right")
         self.counts = np.bincount(self.of, minlength=len(texts))
-        # polynomial hash by prefix sums: sum of byte * BASE^i, shifted back to the word's start
-        with np.errstate(over="ignore"):
-            powers, inverse = _powers(len(raw))
-            sums = np.empty(len(raw) + 1, np.uint64)
-            sums[0] = 0
-            np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[: len(raw)], out=sums[1:])
-            self.hashes = mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+        self.hashes = _word_hashes(joined, starts, ends)
 
 
-_POWERS: list[np.ndarray] = []
+def _word_hashes(joined: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word: eight of its bytes at a time are mixed in, and those of words above LONG_WORD by XXH3.
 
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE^i and BASE^-i modulo 2^64 for i below at least `n`."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, STEP_BYTES // 2)
-        _POWERS[:] = [_geometric(BASE, size), _geometric(pow(BASE, -1, 1 << 64), size)]
-    out = (_POWERS[0], _POWERS[1])
-    if len(out[0]) > 3 * STEP_BYTES:  # of one very long text: don't keep them
-        _POWERS.clear()
+    Sums of powers of one base won't do: some pairs of words (those of Thue and Morse) collide under every base.
+    """
+    lengths = ends - starts
+    eights = np.frombuffer(joined + bytes(16 - len(joined) % 8), np.uint64)
+    out = mixed(lengths.astype(np.uint64) * np.uint64(BASE))
+    longest = int(lengths.max()) if len(lengths) else 0
+    left, at, size = slice(None), starts, lengths
+    for done in range(0, min(longest, LONG_WORD), 8):
+        if done:
+            left = np.flatnonzero((lengths > done) & (lengths <= LONG_WORD))
+            at, size = starts[left] + done, lengths[left] - done
+        shift = ((at & 7) << 3).astype(np.uint64)
+        slot = at >> 3
+        chunk = eights[slot] >> shift
+        chunk |= (eights[slot + 1] << (np.uint64(63) - shift)) << np.uint64(1)
+        chunk &= _MASKS[np.minimum(size, 8)]
+        with np.errstate(over="ignore"):
+            out[left] = mixed((out[left] ^ chunk) * np.uint64(BASE))
+    if longest > LONG_WORD:
+        for k in np.flatnonzero(lengths > LONG_WORD).tolist():
+            out[k] = xxhash.xxh3_64_intdigest(joined[starts[k] : ends[k]])
     return out
 
 
-def _geometric(base: int, size: int) -> np.ndarray:
-    out = np.full(size, base, np.uint64)
-    out[0] = 1
-    with np.errstate(over="ignore"):
-        return np.multiply.accumulate(out)
-
-
 def shingles(hashes: np.ndarray, of: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of `size` successive words of one text, and the text of each; a shorter text gives one of all its words."""
     n = len(hashes)
