@@ -30,7 +30,7 @@ class AsyncStream:
 
 INTERMEDIATE = {
     "filter", "map", "map_to", "map_to_int", "map_to_long", "map_to_double", "flat_map", "distinct", "sorted", "limit", "skip", "peek", "as_long_stream", "as_double_stream", "boxed",
-    "unordered", "parallel", "sequential", "batch", "inline", "on_close", "explain", "log",
+    "unordered", "parallel", "sequential", "batch", "inline", "on_close", "explain", "log", "self_close",
 }
 
 

@@ -7,10 +7,13 @@ same and reach the Parquet scan.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +37,56 @@ _APPLY = {
     ">": lambda c, v: c > v,
     ">=": lambda c, v: c >= v,
 }
+#: Columns and types of the records that expressions are being compiled for; None where they aren't known.
+_KINDS: ContextVar[dict[str, str] | None] = ContextVar("kinds", default=None)
+
+
+@contextmanager
+def over(records: DataFrame | dict[str, str]) -> Iterator[None]:
+    """Expressions compiled in here are for these records: a cell that has no column of its type there is absent."""
+    kinds = records if isinstance(records, dict) else {f.name: f.dataType.simpleString() for f in records.schema}
+    token = _KINDS.set(kinds)
+    try:
+        yield
+    finally:
+        _KINDS.reset(token)
+
+
+#: The struct whose fields cells are read from; None where they are columns.
+_RECORD: ContextVar[Column | None] = ContextVar("record", default=None)
+
+
+@contextmanager
+def inside(record: Column) -> Iterator[None]:
+    """Cells compiled in here are fields of `record`."""
+    token = _RECORD.set(record)
+    try:
+        yield
+    finally:
+        _RECORD.reset(token)
+
+
+def _column(name: str) -> Column:
+    record = _RECORD.get()
+    return F.col(f"`{name}`") if record is None else record.getField(name)
+
+
+def physical(name: str, kind: str, kinds: dict[str, str]) -> str:
+    """The column for a cell: its name, or `name#type` where the name's column has another type."""
+    return name if kinds.get(name, TYPES[kind].simpleString()) == TYPES[kind].simpleString() else f"{name}#{kind}"
+
+
+def cell_name(column: str) -> str:
+    """The cell name that a column is for."""
+    name, mark, kind = column.rpartition("#")
+    return name if mark and kind in TYPES else column
+
+
+def siblings(name: str, kinds: dict[str, str]) -> list[str]:
+    """All columns that hold cells of a name."""
+    return [c for c in kinds if cell_name(c) == name]
+
+
 PYTHON = {"bool": (bool,), "char": (str,), "int": (int,), "long": (int,), "double": (float, int), "string": (str,), "bytes": (bytes, bytearray)}
 _RANGE = {"int": 1 << 31, "long": 1 << 63}
 
@@ -65,6 +118,10 @@ class Predicate:
     def negate(self) -> Predicate:
         return Not(self)
 
+    def negate_plainly(self) -> Predicate:
+        """The opposite, which is true wherever this is false: also for absent cells."""
+        return Not(self)
+
     def and_(self, other: Predicate) -> Predicate:
         return And(self, other)
 
@@ -170,7 +227,7 @@ class Opaque(Predicate):
 
 @dataclass(frozen=True)
 class RecordEquals(Predicate):
-    """Key and all cells are those of a given record (a mapping from column names)."""
+    """Key and all cells are those of a given record (pairs of a column name and a value); its absent cells are absent."""
 
     record: tuple[tuple[str, Any], ...]
 
@@ -228,7 +285,7 @@ class Expr:
     def length(self) -> Expr:
         if self.kind != "string":
             raise TypeError("only strings have a length")
-        return Derived("int", F.length(self.column()), self.optional)
+        return Derived("int", lambda: F.length(self.column()), self.optional)
 
     def starts_with(self, prefix: str) -> Predicate:
         if self.kind != "string":
@@ -260,39 +317,50 @@ class Expr:
         return self.subtract(1)
 
     def _math(self, op: str, n: Any, wrap: bool) -> Expr:
-        """Whole numbers overflow with an error, or wrap around if `wrap` (int); division truncates."""
+        """Whole numbers overflow with an error, or wrap around if `wrap`; division truncates."""
         if self.kind not in NUMBERS:
             raise TypeError(f"{self.kind} is no number")
         n = checked(n, self.kind)
+        if op == "/" and self.kind != "double" and n == 0:
+            raise ZeroDivisionError("division of whole numbers by zero")
+        return Derived(self.kind, lambda: self._calculated(op, n, wrap), self.optional)
+
+    def _calculated(self, op: str, n: Any, wrap: bool) -> Column:
         c, target = self.column(), TYPES[self.kind]
         if op == "/":
-            if self.kind == "double":
-                # by IEEE: a zero divisor gives an infinity or NaN
-                made = c / F.lit(n) if n else F.when(c.isNull(), c).when(F.isnan(c) | (c == 0), F.lit(float("nan"))).otherwise(F.signum(c) * F.lit(float("inf")))
-            else:
-                if n == 0:
-                    raise ZeroDivisionError("division of whole numbers by zero")
-                made = F.call_function("div", c, F.lit(n)).cast(target)
-            return Derived(self.kind, made, self.optional)
-        if wrap and self.kind == "int":
-            c, n_col = c.cast("bigint"), F.lit(n).cast("bigint")
+            if self.kind != "double":
+                return F.call_function("div", c, F.lit(n)).cast(target)
+            # by IEEE: a zero divisor gives an infinity or NaN
+            return c / F.lit(n) if n else F.when(c.isNull(), c).when(F.isnan(c) | (c == 0), F.lit(float("nan"))).otherwise(F.signum(c) * F.lit(float("inf")))
+        n_col = F.lit(n).cast(target)
+        if not wrap or self.kind == "double":
+            return c + n_col if op == "+" else c - n_col if op == "-" else c * n_col
+        # whole numbers in a wider type, folded to their low bits
+        wide = "bigint" if self.kind == "int" else "decimal(38,0)"
+        c, n_col = c.cast(wide), F.lit(n).cast(wide)
+        if self.kind == "int":
             whole = c + n_col if op == "+" else c - n_col if op == "-" else c * n_col
             low = whole.bitwiseAND(F.lit(0xFFFFFFFF))
-            return Derived("int", (low.bitwiseXOR(F.lit(0x80000000)) - F.lit(0x80000000)).cast("int"), self.optional)
-        if wrap and self.kind == "long":
-            raise NotImplementedError("only int wraps around")
-        n_col = F.lit(n).cast(target)
-        return Derived(self.kind, c + n_col if op == "+" else c - n_col if op == "-" else c * n_col, self.optional)
+            return (low.bitwiseXOR(F.lit(0x80000000)) - F.lit(0x80000000)).cast("int")
+        size, half = (F.lit(str(1 << b)).cast(wide) for b in (64, 63))
+        if op == "*":  # by halves of the constant, so that no product has more than 38 digits
+            low, high = n & 0xFFFFFFFF, n >> 32
+            shifted = F.pmod(c * F.lit(high).cast("decimal(11,0)"), size) * F.lit(1 << 32).cast("decimal(11,0)")
+            whole = F.pmod(shifted, size) + F.pmod(c * F.lit(low).cast("decimal(11,0)"), size)
+        else:
+            whole = c + n_col if op == "+" else c - n_col
+        low = F.pmod(whole, size)
+        return F.when(low >= half, low - size).otherwise(low).cast("bigint")
 
 
 @dataclass(frozen=True)
 class Derived(Expr):
     kind: str
-    given: Column = field(compare=False)
+    given: Column | Callable[[], Column] = field(compare=False)
     optional: bool = False
 
     def column(self) -> Column:
-        return self.given
+        return self.given() if callable(self.given) and not isinstance(self.given, Column) else self.given
 
 
 @dataclass(frozen=True)
@@ -304,7 +372,11 @@ class Cell(Expr):
     optional: bool = True
 
     def column(self) -> Column:
-        return F.col(f"`{self.name}`").cast(TYPES[self.kind])
+        kinds = _KINDS.get()
+        name = self.name if kinds is None else physical(self.name, self.kind, kinds)
+        if kinds is not None and name not in kinds and _RECORD.get() is None:
+            return F.lit(None).cast(TYPES[self.kind])
+        return _column(name).cast(TYPES[self.kind])
 
     def is_true(self) -> Predicate:
         return self.is_(True)
@@ -328,11 +400,12 @@ class CellDefinition:
         return Cell(self.name, self.kind)
 
     def value_or(self, default: Any) -> Expr:
-        return Derived(self.kind, F.coalesce(self.value().column(), F.lit(checked(default, self.kind)).cast(TYPES[self.kind])))
+        other = F.lit(checked(default, self.kind)).cast(TYPES[self.kind])
+        return Derived(self.kind, lambda: F.coalesce(self.value().column(), other))
 
     def value_or_fail(self) -> Expr:
         told = F.raise_error(F.lit(f"no cell {self.name}")).cast(TYPES[self.kind])
-        return Derived(self.kind, F.coalesce(self.value().column(), told))
+        return Derived(self.kind, lambda: F.coalesce(self.value().column(), told))
 
     def exists(self) -> Predicate:
         return Exists(self.value())
@@ -345,9 +418,19 @@ def define(name: str, kind: str) -> CellDefinition:
     return CellDefinition(name, kind)
 
 
+def same_record(record: Any) -> RecordEquals:
+    """Whether a record is this one as it was read: its key and all its cells."""
+    return RecordEquals(tuple(record.asDict().items()))
+
+
+def identity(kind: str = "record") -> Expr:
+    """The record itself (or, of a value stream, the value): what a collector of whole records is fed with."""
+    return Derived(kind, F.struct("*") if kind == "record" else F.col("value"))
+
+
 def key(name: str, kind: str) -> Expr:
     """The record key, which is never absent."""
-    return Derived(kind, F.col(f"`{name}`"))
+    return Derived(kind, lambda: _column(name))
 
 
 def constant(value: Any, kind: str) -> Expr:
@@ -356,4 +439,4 @@ def constant(value: Any, kind: str) -> Expr:
 
 def untyped(name: str, columns: list[str]) -> Column:
     """The first present cell of a name in any of its types, as text."""
-    return F.coalesce(*(F.col(f"`{c}`").cast("string") for c in columns if c == name or c.startswith(f"{name}#")))
+    return F.coalesce(*(F.col(f"`{c}`").cast("string") for c in siblings(name, dict.fromkeys(columns, ""))))

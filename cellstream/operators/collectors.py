@@ -1,15 +1,18 @@
-"""Collectors: what a stream is summed up to. They compile to aggregate columns of one grouped aggregation.
+"""Collectors: what a stream is summed up to. They compile to aggregate columns of grouped aggregations.
 
-Groups nest by flattening their keys. Empty input gives 0 for counts and sums, 0.0 for averages, nothing for minima.
+Collectors nest freely. Each grouping is one aggregation by the keys down to it, over the records that reach it; filters and
+partitions below it are conditional aggregates of the same pass. Empty input gives 0 for counts and sums, 0.0 for averages,
+nothing for minima.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellstream.functions.expr import Expr, Order, Predicate
@@ -17,11 +20,19 @@ from cellstream.functions.expr import Expr, Order, Predicate
 
 @dataclass
 class Collector:
-    """columns: aggregate columns by name, given a mask; keys: grouping columns, outermost first; finish: row -> value."""
+    """One of: leaf (columns: aggregate columns by name, given a mask; finish: row -> value), filter, composite, group, part."""
 
-    columns: Callable[[Column | None], dict[str, Column]]
-    finish: Callable[[dict], Any]
-    keys: tuple[tuple[str, Column, bool], ...] = ()
+    kind: str = "leaf"
+    columns: Callable[[Column | None], dict[str, Column]] | None = None
+    finish: Callable[[dict], Any] | None = None
+    parts: tuple[Collector, ...] = ()
+    condition: Predicate | None = None
+    expr: Expr | None = None
+    name: str | None = None
+
+    def halves(self) -> dict[bool, Collector]:
+        """Of a partition: what collects each side."""
+        return {side: filtering(self.condition if side else self.condition.negate_plainly(), self.parts[0]) for side in (False, True)}
 
 
 def _masked(c: Column, mask: Column | None) -> Column:
@@ -29,7 +40,7 @@ def _masked(c: Column, mask: Column | None) -> Column:
 
 
 def _one(name: str, made: Callable[[Column | None], Column]) -> Collector:
-    return Collector(lambda mask: {name: made(mask)}, lambda row: row[name])
+    return Collector("leaf", lambda mask: {name: made(mask)}, lambda row: row[name])
 
 
 def counting(name: str = "count") -> Collector:
@@ -60,7 +71,7 @@ def summarizing(expr: Expr, name: str = "stats") -> Collector:
             f"{name}_avg": F.coalesce(F.avg(c), F.lit(0.0)),
         }
 
-    return Collector(columns, lambda row: {k: row[f"{name}_{k}"] for k in ("count", "sum", "min", "max", "avg")})
+    return Collector("leaf", columns, lambda row: {k: row[f"{name}_{k}"] for k in ("count", "sum", "min", "max", "avg")})
 
 
 def variance(expr: Expr, kind: str = "population", name: str = "variance") -> Collector:
@@ -83,43 +94,195 @@ def max_by(order: Order, name: str = "max") -> Collector:
     return _extreme(order, True, name)
 
 
-def mapping(function: Callable[[], Collector] | Collector, down: Collector | None = None) -> Collector:
-    """Expressions are functions of the record, so mapping is naming the mapped expression in the collector below."""
-    return down if down is not None else function() if callable(function) else function
+def mapping(expr: Expr | Callable, down: Collector | Callable[[Expr], Collector] | None = None) -> Collector:
+    """The collector that `down` makes of the mapped expression, as in `mapping(SALARY.value_or(0), summing)`.
+
+    A collector that looks at no value, as counting, may be given itself.
+    """
+    if down is None:
+        return expr() if callable(expr) else expr
+    return down if isinstance(down, Collector) else down(expr)
 
 
 def filtering(predicate: Predicate, down: Collector) -> Collector:
-    own = predicate.column()
-    return Collector(lambda mask: down.columns(own if mask is None else mask & own), down.finish, down.keys)
+    return Collector("filter", parts=(down,), condition=predicate)
 
 
 def composite(*parts: Collector) -> Collector:
-    def columns(mask: Column | None) -> dict[str, Column]:
-        out: dict[str, Column] = {}
-        for p in parts:
-            made = p.columns(mask)
-            if out.keys() & made.keys():
-                raise ValueError(f"names are used twice: {sorted(out.keys() & made.keys())}")
-            out |= made
-        return out
+    return Collector("composite", parts=parts)
 
-    if any(p.keys for p in parts):
-        raise ValueError("grouping belongs around a composite, not into it")
-    return Collector(columns, lambda row: [p.finish(row) for p in parts])
 
+def grouping_by(expr: Expr, down: Collector | None = None, name: str | None = None) -> Collector:
+    """One entry per present value; an absent one is an error of the classifier, so such records must be filtered before.
 
-def grouping_by(expr: Expr, down: Collector | None = None, name: str = "key") -> Collector:
-    """One entry per present value; an absent one is an error of the classifier, so such records must be filtered before."""
-    down = down or counting()
-    return Collector(down.columns, down.finish, ((name, expr.column(), False), *down.keys))
+    In a frame the key's column is `name`, or `key`, `key_2` and so on by depth.
+    """
+    return Collector("group", parts=(down or counting(),), expr=expr, name=name)
 
 
 grouping_by_concurrent = grouping_by
 
 
-def partitioning_by(predicate: Predicate, down: Collector | None = None, name: str = "key") -> Collector:
+def partitioning_by(predicate: Predicate, down: Collector | None = None, name: str | None = None) -> Collector:
     """Always an entry for true and one for false."""
-    down = down or counting()
-    if down.keys:
-        raise ValueError("a partition can't hold groups")
-    return Collector(down.columns, down.finish, ((name, predicate.column(), True),))
+    return Collector("part", parts=(down or counting(),), condition=predicate, name=name)
+
+
+# ---- how a tree of collectors runs
+
+
+def _met(masks: tuple[Predicate, ...]) -> Column | None:
+    return reduce(lambda a, b: a & b, (m.column() for m in masks)) if masks else None
+
+
+def _leaves(c: Collector, masks: tuple[Predicate, ...] = ()) -> Iterator[tuple[Collector, tuple[Predicate, ...]]]:
+    """The leaves under a collector but not under a grouping below it, with what records must meet."""
+    if c.kind == "leaf":
+        yield c, masks
+    elif c.kind == "filter":
+        yield from _leaves(c.parts[0], (*masks, c.condition))
+    elif c.kind == "part":
+        for half in c.halves().values():
+            yield from _leaves(half, masks)
+    elif c.kind == "composite":
+        for part in c.parts:
+            yield from _leaves(part, masks)
+
+
+def collected(df: DataFrame, c: Collector, keys: tuple[Expr, ...] = (), masks: tuple[Predicate, ...] = ()) -> Any:
+    """The value of a collector over `df`: one aggregation for each grouping (and one for what stands outside of all)."""
+    return _Level(df, c, keys, masks).value(())
+
+
+class _Level:
+    """What stands below one grouping (or at the root): its rows by key, and the groupings further below."""
+
+    def __init__(self, df: DataFrame, c: Collector, keys: tuple[Expr, ...], masks: tuple[Predicate, ...]):
+        self.df, self.c, self.keys, self.masks = df, c, keys, masks
+        self.below: dict[int, _Level] = {}
+        self.taken = 0
+        leaves = list(_leaves(c))
+        columns, self.names = [], []
+        for k, (leaf, within) in enumerate(leaves):
+            made = leaf.columns(_met(within))
+            self.names.append(list(made))
+            columns += [v.alias(f"c{k}_{n}") for n, v in made.items()]
+        rows = df if not masks else df.where(_met(masks))
+        if not keys:
+            self.rows = {(): rows.agg(*columns).first()} if columns else {(): None}
+        elif c.kind == "group":  # each group of it is one of this level: no pass of its own
+            self.rows = None
+        else:
+            by = [k.column().alias(f"k{n}") for n, k in enumerate(keys)]
+            found = rows.groupBy(*by).agg(*columns) if columns else rows.select(*by).distinct()
+            self.rows = {tuple(r[f"k{n}"] for n in range(len(keys))): r for r in found.collect()}
+
+    def groups(self, upper: tuple) -> list:
+        depth = len(upper)
+        if self.rows is None:
+            level = self._level(self.c, self.masks)
+            return list(dict.fromkeys(k[depth] for k in level.every() if k[:depth] == upper))
+        return [k[depth] for k in self.rows if k[:depth] == upper]
+
+    def every(self) -> list[tuple]:
+        return [k[: len(self.keys)] for k in self._level(self.c, self.masks).every()] if self.rows is None else list(self.rows)
+
+    def _level(self, c: Collector, masks: tuple[Predicate, ...], place: int = 0) -> _Level:
+        if place not in self.below:
+            self.below[place] = _Level(self.df, c.parts[0], (*self.keys, c.expr), masks)
+        return self.below[place]
+
+    def value(self, key: tuple) -> Any:
+        self.leaf = self.place = 0
+        return self._value(self.c, key, self.masks)
+
+    def _value(self, c: Collector, key: tuple, masks: tuple[Predicate, ...]) -> Any:
+        if c.kind == "leaf":
+            names, k = self.names[self.leaf], self.leaf
+            self.leaf += 1
+            return c.finish({n: self.rows[key][f"c{k}_{n}"] for n in names})
+        if c.kind == "filter":
+            return self._value(c.parts[0], key, (*masks, c.condition))
+        if c.kind == "part":
+            return {side: self._value(half, key, masks) for side, half in c.halves().items()}
+        if c.kind == "composite":
+            return [self._value(part, key, masks) for part in c.parts]
+        level = self._level(c, masks, self.place)
+        self.place += 1
+        out = {}
+        for g in level.groups(key):
+            if g is None:
+                raise ValueError("a group can't have an absent key")
+            out[g] = level.value((*key, g))
+        return out
+
+
+def collected_frame(df: DataFrame, c: Collector) -> DataFrame:
+    """The entries of a collector as rows: a column for each level of groups and partitions, then those of the leaves.
+
+    Leaves below must stand at one level, else there is no one relation. Halves of a partition under groups, or of leaves
+    alone, have their row even if they are empty.
+    """
+    levels = list(_levels(c))
+    names = [name or ("key" if n == 0 else f"key_{n + 1}") for n, name in enumerate(levels)]
+    if len(set(names)) < len(names):
+        raise ValueError(f"levels share a name: {names}")
+    frames = [_rows(df, keys, masks, halves, names) for keys, masks, halves in _flat(c, {}, (), ()).values()]
+    return reduce(DataFrame.unionByName, frames)
+
+
+def _levels(c: Collector) -> Iterator[str | None]:
+    """Names of the levels of groups and partitions, outermost first."""
+    if c.kind in ("group", "part"):
+        yield c.name
+    found = [list(_levels(p)) for p in c.parts]
+    if sum(map(bool, found)) and len(found) > 1:
+        raise ValueError("groups beside other collectors are no one relation: collect them to a value")
+    for f in found:
+        yield from f
+
+
+def _flat(c: Collector, sides: dict[int, bool], keys: tuple, masks: tuple, depth: int = 0, within: tuple = ()) -> dict[tuple, tuple]:
+    """(grouping keys by level, conditions on the records of that aggregation, its halves): by those keys and conditions.
+
+    A half is (sides of its partitions by level, further conditions, leaves).
+    """
+    if c.kind == "filter":
+        return _flat(c.parts[0], sides, keys, masks, depth, (*within, c.condition))
+    if c.kind == "group":
+        # what is asked for above a grouping holds for all its records; partitions above are fixed by their conditions
+        return _flat(c.parts[0], sides, (*keys, (depth, c.expr)), (*masks, *within), depth + 1)
+    if c.kind == "part":
+        out: dict[tuple, tuple] = {}
+        for side, half in c.halves().items():
+            for at, (k, m, halves) in _flat(half, {**sides, depth: side}, keys, masks, depth + 1, within).items():
+                held = out.setdefault(at, (k, m, []))
+                held[2].extend(halves)
+        return out
+    return {(keys, masks): (keys, masks, [(sides, within, list(_leaves(c)))])}
+
+
+def _rows(df: DataFrame, keys: tuple, masks: tuple, halves: list, names: list[str]) -> DataFrame:
+    rows = df.where(_met(masks)) if masks else df
+    by = [e.column().alias(names[n]) for n, e in keys]
+    made = []
+    for sides, within, leaves in halves:
+        columns: dict[str, Column] = {}
+        for leaf, more in leaves:
+            found = leaf.columns(_met((*within, *more)))
+            if columns.keys() & found.keys():
+                raise ValueError(f"names are used twice: {sorted(columns.keys() & found.keys())}")
+            columns |= found
+        made.append((sides, columns))
+    if len(made) == 1:
+        sides, columns = made[0]
+        out = (rows.groupBy(*by) if by else rows).agg(*(c.alias(n) for n, c in columns.items()))
+        return out.select(*(F.lit(sides[n]).alias(x) if n in sides else F.col(x) for n, x in enumerate(names)), *columns)
+    # all halves in one pass, so that an empty half has its row
+    structs = [
+        F.struct(*(F.lit(side).alias(names[n]) for n, side in sides.items()), *(c.alias(n) for n, c in columns.items())).alias(f"half_{k}") for k, (sides, columns) in enumerate(made)
+    ]
+    out = (rows.groupBy(*by) if by else rows).agg(*structs)
+    kept = [names[n] for n, _ in keys]
+    out = out.select(*kept, F.explode(F.array(*(f"half_{k}" for k in range(len(made))))).alias("half"))
+    return out.select(*(F.col(x) if x in kept else F.col(f"half.{x}") for x in names), *(F.col(f"half.{n}") for n in made[0][1]))

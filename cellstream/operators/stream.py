@@ -9,22 +9,24 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Iterator
 from functools import reduce as fold_left
+from functools import wraps
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from cellstream.functions.expr import NUMBERS, TYPES, Always, Derived, Expr, Order, Predicate
-from cellstream.operators.collectors import Collector, counting, summarizing
+from cellstream.functions.expr import NUMBERS, TYPES, Always, Derived, Expr, Order, Predicate, over
+from cellstream.operators.collectors import Collector, collected, collected_frame, counting, summarizing
 from cellstream.operators.update import Update
 from cellstream.plans.access import StreamPlan, plan_of
 
 log = logging.getLogger("cellstream")
+_NOTHING = object()
 
 
 class _Stream:
     def __init__(self, df: DataFrame, orders: tuple[Order, ...] = ()):
-        self._df, self._orders, self._on_close = df, orders, ()
+        self._df, self._orders, self._on_close, self._closes = df, orders, (), False
 
     def _with(self, df: DataFrame, orders: tuple[Order, ...] | None = None):
         out = object.__new__(type(self))
@@ -35,6 +37,11 @@ class _Stream:
     def frame(self) -> DataFrame:
         return self._df
 
+    def _values(self, df: DataFrame, kind: str) -> ValueStream:
+        out = ValueStream(df, kind)
+        out._on_close, out._closes = self._on_close, self._closes
+        return out
+
     # hints that change nothing here
     def unordered(self):
         return self._with(self._df, ())
@@ -43,7 +50,7 @@ class _Stream:
         return self
 
     def sequential(self):
-        return self._with(self._df.coalesce(1))
+        return self
 
     def batch(self, n: int):
         return self
@@ -60,17 +67,25 @@ class _Stream:
         for f in self._on_close:
             f()
 
+    def self_close(self):
+        """The stream closes itself when a terminal operation has run."""
+        out = self._with(self._df)
+        out._closes = True
+        return out
+
     def __enter__(self):
         return self
 
     def __exit__(self, *_):
         self.close()
 
-    def _mask(self, p: Predicate) -> Column:
-        return p.column()
+    def _column(self, made: Callable[[], Any]) -> Any:
+        """What `made` compiles to for the records of this stream."""
+        with over(self._df):
+            return made()
 
     def filter(self, p: Predicate):
-        return self._with(self._df.where(p.top()))
+        return self._with(self._df.where(self._column(p.top)))
 
     def limit(self, n: int):
         return self._with(self._df.limit(n))
@@ -85,23 +100,23 @@ class _Stream:
     def _sorted(self, orders: tuple[Order, ...]):
         # what was sorted before breaks ties
         every = (*orders, *self._orders)
-        return self._with(self._df.orderBy(*(o.column() for o in every)), every)
+        return self._with(self._df.orderBy(*self._column(lambda: [o.column() for o in every])), every)
 
     # terminals
     def count(self) -> int:
         return self._df.count()
 
     def match_frame(self, p: Predicate) -> DataFrame:
-        c = p.column()
+        c = self._column(p.column)
         return self._df.agg(
             F.coalesce(F.bool_or(c), F.lit(False)).alias("any_match"), F.coalesce(F.bool_and(c), F.lit(True)).alias("all_match"), F.coalesce(~F.bool_or(c), F.lit(True)).alias("none_match")
         )
 
     def any_match(self, p: Predicate) -> bool:
-        return not self._df.where(p.top()).limit(1).isEmpty()
+        return not self._df.where(self._column(p.top)).limit(1).isEmpty()
 
     def all_match(self, p: Predicate) -> bool:
-        return self._df.where(~p.column()).limit(1).isEmpty()
+        return self._df.where(~self._column(p.column)).limit(1).isEmpty()
 
     def none_match(self, p: Predicate) -> bool:
         return not self.any_match(p)
@@ -112,7 +127,7 @@ class _Stream:
     find_first = find_any
 
     def extreme_frame(self, order: Order, largest: bool = False) -> DataFrame:
-        return self._df.orderBy((order.reversed() if largest else order).column()).limit(1)
+        return self._df.orderBy(self._column((order.reversed() if largest else order).column)).limit(1)
 
     def min(self, order: Order) -> Row | None:
         return self.extreme_frame(order).first()
@@ -139,10 +154,8 @@ class _Stream:
         """A fold by the caller's own associative function: per partition on the executors, then over their results."""
 
         def part(rows: Iterator[Row]) -> Iterator[Any]:
-            items = list(rows) if identity is None else None
-            if items is not None:
-                return iter([fold_left(function, items)] if items else [])
-            return iter([fold_left(function, rows, identity)])
+            first = next(rows, _NOTHING) if identity is None else identity
+            return iter([] if first is _NOTHING else [fold_left(function, rows, first)])
 
         found = self._elements().mapPartitions(part).collect()
         if identity is None:
@@ -165,34 +178,12 @@ class _Stream:
         return out
 
     def collect_frame(self, collector: Collector | None = None) -> DataFrame:
-        collector = collector or counting()
-        made = [c.alias(n) for n, c in collector.columns(None).items()]
-        if not collector.keys:
-            return self._df.agg(*made)
-        (name, condition, both), *_ = collector.keys
-        if both:
-            # an aggregate of both halves in one pass, so that an empty half has its entry
-            halves = [
-                F.struct(F.lit(side).alias(name), *(c.alias(n) for n, c in collector.columns(condition if side else ~condition).items())).alias(f"side_{side}") for side in (False, True)
-            ]
-            row = self._df.agg(*halves)
-            return row.select(F.explode(F.array("side_False", "side_True")).alias("s")).select("s.*")
-        return self._df.groupBy(*(c.alias(n) for n, c, _ in collector.keys)).agg(*made)
+        with over(self._df):
+            return collected_frame(self._df, collector or counting())
 
     def collect(self, collector: Collector) -> Any:
-        rows = self.collect_frame(collector).collect()
-        if not collector.keys:
-            return collector.finish(rows[0].asDict())
-        out: dict = {}
-        for row in rows:
-            at = out
-            *outer, last = (row[n] for n, _, _ in collector.keys)
-            for k in outer:
-                at = at.setdefault(k, {})
-            if last is None:
-                raise ValueError("a group can't have an absent key")
-            at[last] = collector.finish(row.asDict())
-        return out
+        with over(self._df):
+            return collected(self._df, collector)
 
 
 class ValueStream(_Stream):
@@ -207,14 +198,14 @@ class ValueStream(_Stream):
         return Derived(self.kind, F.col("value"))
 
     def _mapped(self, made: Column, kind: str) -> ValueStream:
-        return ValueStream(self._df.select(made.cast(TYPES[kind]).alias("value") if kind in TYPES else made.alias("value")), kind)
+        return self._values(self._df.select(made.cast(TYPES[kind]).alias("value") if kind in TYPES else made.alias("value")), kind)
 
     def map(self, function: Callable[[Expr], Expr]) -> ValueStream:
         made = function(self.value)
-        return self._mapped(made.column(), made.kind)
+        return self._mapped(self._column(made.column), made.kind)
 
     def map_to(self, kind: str, function: Callable[[Expr], Expr] | None = None) -> ValueStream:
-        return self._mapped((function(self.value) if function else self.value).column(), kind)
+        return self._mapped(self._column((function(self.value) if function else self.value).column), kind)
 
     def as_long_stream(self) -> ValueStream:
         return self.map_to("long")
@@ -227,7 +218,7 @@ class ValueStream(_Stream):
 
     def flat_map(self, made: Column, kind: str) -> ValueStream:
         """`made`: an array column of `value`; one element per entry."""
-        return ValueStream(self._df.select(F.explode(made).alias("value")), kind)
+        return self._values(self._df.select(F.explode(made).alias("value")), kind)
 
     def distinct(self) -> ValueStream:
         return self._with(self._df.distinct(), ())
@@ -292,6 +283,18 @@ class ValueStream(_Stream):
         return (r[0] for r in super().iterator())
 
 
+def _closing(terminal: Callable) -> Callable:
+    @wraps(terminal)
+    def run(self, *args, **kwargs):
+        try:
+            return terminal(self, *args, **kwargs)
+        finally:
+            if self._closes:
+                self.close()
+
+    return run
+
+
 class RecordStream(_Stream):
     """A stream of records: distinct by key, without an order of its own."""
 
@@ -313,7 +316,8 @@ class RecordStream(_Stream):
         source = base
         if self._access is not None:
             source, _ = self._access(leading)
-        out = self._with(source.where(leading.top()))
+        with over(source):
+            out = self._with(source.where(leading.top()))
         out._open, out._leading, out._base = True, leading, base
         return out
 
@@ -333,7 +337,7 @@ class RecordStream(_Stream):
         return self._sorted(orders)
 
     def map(self, expr: Expr) -> ValueStream:
-        return ValueStream(self._df.select(expr.column().alias("value")), expr.kind)
+        return self._values(self._df.select(self._column(expr.column).alias("value")), expr.kind)
 
     def _map_to(self, expr: Expr, kind: str) -> ValueStream:
         if expr.kind not in NUMBERS:
@@ -350,13 +354,21 @@ class RecordStream(_Stream):
         return self._map_to(expr, "double")
 
     def flat_map(self, made: Column, kind: str) -> ValueStream:
-        return ValueStream(self._df.select(F.explode(made).alias("value")), kind)
+        return self._values(self._df.select(F.explode(made).alias("value")), kind)
 
-    def log(self, text: str, *exprs: Expr, rows: int = 20) -> RecordStream:
-        """Log some formatted records, and go on with all."""
-        for r in self._df.select(F.format_string(text, *(e.column() for e in exprs)).alias("line")).limit(rows).collect():
-            log.info(r["line"])
-        return self
+    def log(self, text: str, *exprs: Expr) -> RecordStream:
+        """Log a formatted line for every record that passes, on the executors, when a terminal operation runs."""
+        line = self._column(lambda: F.format_string(text, *(e.column() for e in exprs)))
+        names = self._df.columns
+
+        def each(batches: Iterator) -> Iterator:
+            out = logging.getLogger("cellstream")
+            for batch in batches:
+                for told in batch.column(batch.num_columns - 1).to_pylist():
+                    out.info(told)
+                yield batch.select(names)
+
+        return self._with(self._df.withColumn("__line", line).mapInArrow(each, self._df.schema))
 
     # mutation as plans; datasets write them
     def _kinds(self) -> dict[str, str]:
@@ -364,7 +376,7 @@ class RecordStream(_Stream):
 
     def mutate_then(self, update: Update) -> DataFrame:
         """(first, second): each record before and after."""
-        new = update.columns(self._kinds(), self._key)
+        new = self._column(lambda: update.columns(self._kinds(), self._key))
         return self._df.select(F.struct(*(F.col(f"`{c}`") for c in self._df.columns)).alias("first"), F.struct(*(c.alias(n) for n, c in new.items())).alias("second"))
 
     def delete_then(self) -> DataFrame:
@@ -372,19 +384,23 @@ class RecordStream(_Stream):
 
     def lookup(self, expr: Expr, other: DataFrame, other_key: str, how: str = "inner") -> DataFrame:
         """For each record the one of another dataset under a key: `on(key).read` of each element as one join."""
-        return self._df.join(other, expr.column() == other[other_key], how)
+        return self._df.join(other, self._column(expr.column) == other[other_key], how)
 
 
 def mutated(df: DataFrame, key: str, p: Predicate, update: Update) -> DataFrame:
     """All records, those under `p` updated: one projection, no shuffle."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    hit = p.column()
-    out = []
-    for name, new in update.columns(kinds, key).items():
-        old = F.col(f"`{name}`") if name in kinds else F.lit(None)
-        out.append(F.when(hit, new).otherwise(old).alias(name))
-    return df.select(*out)
+    with over(kinds):
+        hit, new = p.column(), update.columns(kinds, key)
+    return df.select(*(F.when(hit, c).otherwise(F.col(f"`{n}`") if n in kinds else F.lit(None)).alias(n) for n, c in new.items()))
 
 
 def without(df: DataFrame, p: Predicate) -> DataFrame:
-    return df.where(~p.column())
+    with over(df):
+        return df.where(~p.column())
+
+
+for _kind in (_Stream, ValueStream):
+    for _name in ("count", "any_match", "all_match", "find_any", "find_first", "min", "max", "to_array", "for_each", "reduce", "collect3", "collect", "sum", "average", "summary_statistics"):
+        if _name in vars(_kind):
+            setattr(_kind, _name, _closing(vars(_kind)[_name]))

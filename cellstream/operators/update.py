@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cellstream.functions.expr import TYPES, CellDefinition, Expr, checked
+from cellstream.functions.expr import TYPES, CellDefinition, Derived, Expr, cell_name, checked, inside, physical, siblings
 
 
 @dataclass(frozen=True)
@@ -23,6 +23,10 @@ class Update:
         made = self.change(kinds)
         if key in made:
             raise ValueError("the key can't change")
+        # a cell that is written in another type replaces the one of its name
+        for name in list(made):
+            for other in siblings(cell_name(name), kinds):
+                made.setdefault(other, F.lit(None))
         out = {}
         for name, kind in kinds.items():
             if name == key:
@@ -42,26 +46,43 @@ class Write:
 
     def value(self, value: Any) -> Update:
         made = F.lit(checked(value, self.cell.kind)).cast(TYPES[self.cell.kind])
-        return Update(lambda kinds: {self.cell.name: made})
+        return Update(lambda kinds: {_place(self.cell, kinds): made})
 
     def result_of(self, expr: Expr) -> Update:
         if expr.kind != self.cell.kind:
             raise TypeError(f"{expr.kind} can't be written to {self.cell.kind}")
-        return Update(lambda kinds: {self.cell.name: expr.column().cast(TYPES[self.cell.kind])})
+        return Update(lambda kinds: {_place(self.cell, kinds): expr.column().cast(TYPES[self.cell.kind])})
 
 
-def write(cell: CellDefinition | tuple, value: Any = None) -> Write | Update:
+def _place(cell: CellDefinition, kinds: dict[str, str]) -> str:
+    return physical(cell.name, cell.kind, kinds)
+
+
+def _kind_of(value: Any) -> str:
+    if isinstance(value, bool):
+        return "bool"
+    if isinstance(value, int):
+        return "int" if -(1 << 31) <= value < 1 << 31 else "long"
+    return {float: "double", str: "string", bytes: "bytes"}[type(value)]
+
+
+def write(cell: CellDefinition | tuple | str, value: Any = None) -> Write | Update:
+    """`write(definition)`, `write(definition, value)`, `write(cell)`, or `write(name, value)` with the value's own type."""
     if isinstance(cell, tuple):
         return Write(cell[0]).value(cell[1])
+    if isinstance(cell, str):
+        return Write(CellDefinition(cell, _kind_of(value))).value(value)
     return Write(cell) if value is None else Write(cell).value(value)
 
 
 def remove(cell: CellDefinition) -> Update:
-    return Update(lambda kinds: {cell.name: F.lit(None).cast(TYPES[cell.kind])})
+    return Update(lambda kinds: {_place(cell, kinds): F.lit(None).cast(TYPES[cell.kind])})
 
 
 def install(*cells: tuple[CellDefinition, Any]) -> Update:
-    return Update(lambda kinds: {c.name: F.lit(checked(v, c.kind)).cast(TYPES[c.kind]) for c, v in cells}, replace=True)
+    if len({c.name for c, _ in cells}) < len(cells):
+        raise ValueError("a cell name stands twice")
+    return Update(lambda kinds: {_place(c, kinds): F.lit(checked(v, c.kind)).cast(TYPES[c.kind]) for c, v in cells}, replace=True)
 
 
 def all_of(*parts: Update) -> Update:
@@ -72,9 +93,11 @@ def all_of(*parts: Update) -> Update:
         for p in parts:
             if p.replace:
                 out = {k: F.lit(None).cast(v) for k, v in kinds.items()}
-                out |= p.change(kinds)
-            else:
-                out |= p.change(kinds)
+            made = p.change(kinds)
+            for name in made:
+                for other in siblings(cell_name(name), {**kinds, **dict.fromkeys(out, "")}):
+                    out.pop(other, None)
+            out |= made
         return out
 
     return Update(change)
@@ -85,14 +108,21 @@ def custom(function: Callable[[dict[str, str]], dict[str, Column]]) -> Update:
     return Update(function)
 
 
-def before(name: str, kind: str) -> Expr:
-    """A cell of the record before a mutation, in (before, after) pairs."""
-    from cellstream.functions.expr import Derived
+def _of_pair(side: str, part: Expr | str, kind: str | None) -> Expr:
+    if isinstance(part, str):
+        return Derived(kind, F.col(f"{side}.`{part}`"), True)
+
+    def made() -> Column:
+        with inside(F.col(side)):
+            return part.column()
+
+    return Derived(part.kind, made, part.optional)
 
-    return Derived(kind, F.col(f"first.`{name}`"), True)
 
+def before(part: Expr | str, kind: str | None = None) -> Expr:
+    """Of (before, after) pairs: an expression over the record before the mutation, or its cell of a name and type."""
+    return _of_pair("first", part, kind)
 
-def after(name: str, kind: str) -> Expr:
-    from cellstream.functions.expr import Derived
 
-    return Derived(kind, F.col(f"second.`{name}`"), True)
+def after(part: Expr | str, kind: str | None = None) -> Expr:
+    return _of_pair("second", part, kind)
