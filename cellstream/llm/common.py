@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Odd 64-bit multipliers of the hashes and of the final mixing.
 BASE = 0x9E3779B97F4A7C15
@@ -28,33 +29,62 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` with its lineage cut by a reliable checkpoint in the shared folder of the session.
 
-    The folder is `spark.checkpoint.dir`; only where the session names none (tests) a temporary one is set.
+    The folder is `spark.checkpoint.dir`; only on one machine (tests) a temporary one is set where the session names none.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", "")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix=f"cellstream-{uuid.uuid4().hex[:8]}-"))
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="cellstream-"))
     return df.checkpoint(eager=True)
 
 
+def drop_checkpoint(df: DataFrame) -> None:
+    """Delete the files of `checkpointed` data that nothing reads any more."""
+    context = df.sparkSession.sparkContext
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = context._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def arrow_map(
-    df: DataFrame, function: Callable[[pa.Table | pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: str
+    df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: str | T.StructType
 ) -> DataFrame:
     """Apply `function` to each Arrow batch of `df`; it returns one batch, none, or an iterator of batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool = pa.default_memory_pool()
         for batch in batches:
             if not batch.num_rows:
                 continue
             out = function(batch)
-            if out is None:
-                continue
             if isinstance(out, pa.RecordBatch):
                 yield out
-            else:
+            elif out is not None:
                 yield from out
+            del batch, out
+            pool.release_unused()  # a worker lives on, beside others, after its task
+
+    # names with dots can't be passed on; functions that keep columns of any name take them by their place
+    plain = [unused(df.columns, f"column_{k}")[0] if "." in n or "`" in n else n for k, n in enumerate(df.columns)]
+    return df.toDF(*plain).mapInArrow(run, schema)
+
 
-    return df.mapInArrow(run, schema)
+def quoted(name: str) -> F.Column:
+    """The column of exactly this name."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(columns: list[str] | tuple[str, ...], *names: str) -> list[str]:
+    """Each of `names`, lengthened until no column has it in any case of its letters."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def steps(texts: list[str | None], limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
@@ -70,6 +100,17 @@ def steps(texts: list[str | None], limit: int = STEP_BYTES) -> Iterator[tuple[in
         yield begin, len(texts)
 
 
+def row_steps(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of `batch` that hold about `limit` bytes in `column`, or a single longer value."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy()
+    ends = np.cumsum(sizes.astype(np.int64) + 1)
+    begin = 0
+    while begin < len(ends):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + limit, side="right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every bit of the input moves every bit of the output."""
     x = x ^ (x >> np.uint64(30))

@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cellstream.llm.common import arrow_map, steps
+from cellstream.llm.common import arrow_map, quoted, row_steps
 from cellstream.llm.hashed import char_grams, fit_calibrated, labelled_sample
 
 BITS = 14
@@ -57,10 +58,9 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, rows = np.zeros(1 << BITS, np.int64), 0
         for batch in batches:
-            texts = [(t or "").lower() for t in batch.column(0).to_pylist()]
-            rows += len(texts)
-            for begin, end in steps(texts, STEP_CHARS):
-                grams, starts, lengths = char_grams(texts[begin:end], BITS)
+            rows += batch.num_rows
+            for part in row_steps(batch, "text", STEP_CHARS):
+                grams, starts, lengths = char_grams([(t or "").lower() for t in part.column(0).to_pylist()], BITS)
                 for s, n in zip(starts.tolist(), lengths.tolist(), strict=True):
                     seen = np.zeros(1 << BITS, bool)
                     seen[grams[:, s : s + n]] = True
@@ -74,7 +74,8 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, epochs: int = 3) -> LanguageModel:
     """A model of the languages in `docs` (text, lang, doc_id); rows without a language or a text teach nothing.
 
-    The classifier sees about `per_language` rows of each language (256 languages at most); document frequencies cover all.
+    The classifier sees about `per_language` rows of each language, and more than 256 languages are an error; document
+    frequencies cover all rows and whole texts. An empty table gives a model of no language.
     """
     docs = docs.select("doc_id", "text", F.col("lang").alias("label")).where(F.col("label").isNotNull() & F.col("text").isNotNull())
     sample = labelled_sample(docs, per_language)
@@ -97,21 +98,21 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, epochs: int = 3) ->
     return LanguageModel(languages, (weights * idf[:, None]).astype(np.float32), bias, temperature)
 
 
-def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep` columns, lang_pred and score of every text.
+def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """`keep` columns, and the language and its calibrated probability under `names`, of every whole text.
 
-    `und` with score 0 if the text is null or has no letter, or if nothing could be learnt. Repeated rows give a row
-    each. A column of `docs` named lang_pred or score must not be kept.
+    `und` with score 0 if the text is null or has no letter, or if nothing could be learnt. Ties go to the language that
+    comes first by name. Repeated rows and null keys give a row each, an empty table none. Very long texts are scored whole,
+    one at a time. Kept columns must not have one of `names`; other columns of `docs` are left out.
     """
-    kept = docs.select(*keep, "text") if "text" not in keep else docs.select(*keep)
-    names = list(keep)
+    if clash := {k.lower() for k in keep} & {n.lower() for n in names}:
+        raise ValueError(f"kept columns are named as results: {sorted(clash)}")
+    kept = docs.select(*map(quoted, keep), *([] if "text" in keep else ["text"]))
 
     def run(batch: pa.RecordBatch):
-        texts = batch.column("text").to_pylist()
-        for begin, end in steps(texts, STEP_CHARS):
-            chosen, score = model.score(texts[begin:end])
-            own = [batch.column(k).slice(begin, end - begin) for k in names]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(chosen, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
-
-    schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in names)
-    return arrow_map(kept, run, f"{schema}, lang_pred string, score double")
+        for part in row_steps(batch, "text", STEP_CHARS):
+            chosen, score = model.score(part.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), pa.array(chosen, pa.string()), pa.array(score, pa.float64())], [*keep, *names])
+
+    schema = T.StructType([*(docs.schema[k] for k in keep), T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    return arrow_map(kept, run, schema)

@@ -1,9 +1,9 @@
 """Line deduplication: sorted hash ranges, streamed first occurrences, compressed keep bitmaps.
 
 Lines become 128-bit hashes of their keys. Within an Arrow batch all but the smallest document of a key are known to lose
-it at once, so that one row a batch and key is left, however common the line. Those rows are dealt to ranges of the hash
-(which is uniform, so equal ranges need no sampling), sorted by hash, document and position, and streamed: the first
-document of a hash keeps its lines. What returns is a zlib-compressed bitmap a document, no text.
+it at once, so that one row a batch and key is left, however common the line. Those rows are dealt to ranges of the hash,
+one a shuffle partition (hashes are uniform, so equal ranges need no sampling), sorted by hash, document and position, and
+streamed: the first document of a hash keeps its lines. What returns is a zlib-compressed bitmap a document, no text.
 """
 
 from __future__ import annotations
@@ -18,12 +18,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellstream.llm.common import arrow_map
+from cellstream.llm.common import arrow_map, quoted, row_steps, unused
 
 BLANKS = " \t\n\x0b\x0c\r"
 MIN_KEY = 10
-#: The hash space is cut into so many equal ranges.
-RANGES = 1 << 16
+#: Bytes of text whose lines are cut out in one step.
+STEP_BYTES = 2_000_000
 
 
 def line_keys(text: str | None) -> list[bytes | None]:
@@ -116,8 +116,9 @@ def keep_bitmaps(docs: DataFrame) -> DataFrame:
     """
     rows = marked(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).select("doc_id", "mark", F.coalesce("text", F.lit("")).alias("text"))
     found = arrow_map(rows, _occurrences, "h1 binary, h2 binary, doc_id bigint, mark bigint, n_lines bigint, places binary")
-    ranges = F.conv(F.hex(F.substring("h1", 1, 2)), 16, 10).cast("int") % F.lit(RANGES)
-    sorted_rows = found.repartition(ranges).sortWithinPartitions("h1", "h2", "doc_id", "places")
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nth = F.floor(F.conv(F.hex(F.substring("h1", 1, 4)), 16, 10).cast("bigint") * ranges / (1 << 32)).cast("int")
+    sorted_rows = found.repartitionById(ranges, nth).sortWithinPartitions("h1", "h2", "doc_id", "places")
     lost = sorted_rows.mapInArrow(_stream_first, "doc_id bigint, mark bigint, n_lines bigint, places binary")
     told = lost.groupBy("doc_id", "mark").agg(F.max("n_lines").alias("n_lines"), F.collect_list("places").alias("places"))
     return arrow_map(told, _bitmaps, "doc_id bigint, mark bigint, n_lines bigint, n_dropped bigint, keep binary")
@@ -128,38 +129,48 @@ def kept_lines(text: str | None, n_lines: int, keep: bytes) -> str:
     return "\n".join([line for line, flag in zip((text or "").split("\n"), flags.tolist(), strict=True) if flag])
 
 
-def _with_bitmaps(docs: DataFrame) -> DataFrame:
-    maps = keep_bitmaps(docs).withColumnsRenamed({"doc_id": "__doc", "mark": "__mark", "n_lines": "__lines", "n_dropped": "__dropped", "keep": "__keep"})
-    held = docs.withColumn("__own", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return held.join(maps, held["doc_id"].cast("bigint").eqNullSafe(maps["__doc"]) & (held["__own"] == maps["__mark"]))
+def _with_bitmaps(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """`docs` with its lines, dropped lines and bitmap of each row, and the names of these three columns."""
+    added = unused(docs.columns, "bitmap_doc", "bitmap_mark", "lines_", "dropped_", "keep_", "own_mark")
+    doc, mark, *told, own = added
+    maps = keep_bitmaps(docs).toDF(doc, mark, *told)
+    held = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))
+    joined = held.join(maps, held["doc_id"].cast("bigint").eqNullSafe(maps[doc]) & (held[own] == maps[mark]))
+    return joined.select(*map(quoted, [*docs.columns, *told])), told
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_dropped and the SHA-256 of the kept text of each row."""
+    """doc_id, n_lines, n_dropped and the SHA-256 of the kept text of each row.
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, lines, keep = (batch.column(k).to_pylist() for k in ("text", "__lines", "__keep"))
-        sums = [hashlib.sha256(kept_lines(t, n, k).encode("utf-8", "surrogatepass")).hexdigest() for t, n, k in zip(texts, lines, keep, strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("__lines"), batch.column("__dropped"), pa.array(sums, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
+    Nulls, empty texts and repeated rows count as `keep_bitmaps` says; an empty table gives no row, very long texts are
+    hashed whole, and other columns are left out.
+    """
+    joined, told = _with_bitmaps(docs.select("doc_id", "text"))
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in row_steps(batch, "text", STEP_BYTES):
+            texts, lines, keep = (part.column(k).to_pylist() for k in ("text", told[0], told[2]))
+            sums = [hashlib.sha256(kept_lines(t, n, k).encode("utf-8", "surrogatepass")).hexdigest() for t, n, k in zip(texts, lines, keep, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(part.column(k) for k in told[:2]), pa.array(sums, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    joined = _with_bitmaps(docs.select("doc_id", "text")).select("doc_id", "text", "__lines", "__dropped", "__keep")
     return arrow_map(joined, run, f"doc_id {kind}, n_lines bigint, n_dropped bigint, kept_sha256 string")
 
 
 def apply(docs: DataFrame) -> DataFrame:
     """`docs` without the lines that its bitmaps drop, all columns and rows kept (n_chars, if there, counts anew).
 
-    A null text stays null.
+    A null text stays null; for the rest see `digests`.
     """
     names = docs.columns
     place = names.index("text")
+    joined, told = _with_bitmaps(docs)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, lines, lost, keep = (batch.column(k).to_pylist() for k in ("text", "__lines", "__dropped", "__keep"))
-        done = [kept_lines(t, n, k) if t is not None and d else t for t, n, d, k in zip(texts, lines, lost, keep, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(done, pa.string()) if k == place else batch.column(k) for k in range(len(names))], names)
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in row_steps(batch, "text", STEP_BYTES):
+            texts, lines, lost, keep = (part.column(k).to_pylist() for k in ("text", *told))
+            done = [kept_lines(t, n, k) if t is not None and d else t for t, n, d, k in zip(texts, lines, lost, keep, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.string()) if k == place else part.column(k) for k in range(len(names))], names)
 
-    joined = _with_bitmaps(docs).select(*names, "__lines", "__dropped", "__keep")
-    out = arrow_map(joined, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    out = arrow_map(joined, run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

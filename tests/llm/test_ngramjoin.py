@@ -6,6 +6,7 @@ import re
 import pytest
 
 from cellstream.llm import langid, linededup, ngramjoin, secrets
+from cellstream.llm.common import Words
 
 DOCS = "doc_id bigint, text string, lang string, n int"
 
@@ -67,6 +68,28 @@ def test_components_match_brute_force(spark, monkeypatch, size, percent, holders
     assert [r.component_id for r in got if r.doc_id is None] == [None]
 
 
+def test_words_told_apart():
+    """Words that sums of powers can't tell apart, words of several eights of bytes, and very long ones."""
+    parity = [bin(k).count("1") % 2 for k in range(1024)]
+    rnd = random.Random(3)
+    texts = ["".join("ab"[p] for p in parity), "".join("ba"[p] for p in parity), "x", "X", "\u00e9", "", " ", "a b\x0bc\nd\x1ce", "a\0", "a", "b" * 300, "b" * 301]
+    texts += [" ".join("".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 40))) for _ in range(50)) for _ in range(100)]
+    made = Words(texts)
+    words = [w for t in texts for w in re.findall(r"[^\x20\x09-\x0D]+", t)]
+    assert len(made.hashes) == len(words) == made.counts.sum()
+    assert len(set(made.hashes.tolist())) == len(set(words))
+    told = dict(zip(words, made.hashes.tolist(), strict=True))
+    assert all(Words([f" {w} q"]).hashes[0] == h for w, h in told.items())
+    assert Words(["ABCdefghiJ"], lower=True).hashes[0] == Words(["abcdefghij"]).hashes[0]
+
+
+def test_documents_of_words_that_powers_confuse(spark):
+    parity = [bin(k).count("1") % 2 for k in range(1024)]
+    rows = [(1, "".join("ab"[p] for p in parity)), (2, "".join("ba"[p] for p in parity))]
+    got = ngramjoin.link_components(spark.createDataFrame([(*r, "en", 1) for r in rows], DOCS)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 2)]
+
+
 def test_texts_of_one_doc_id(spark):
     a, b, c, d, e = (" ".join(f"{k}{n}" for n in range(30)) for k in "abcde")
     rows = [(3, a), (5, a), (5, b), (7, b), (5, ""), (8, c), (9, d), (10, c), (10, d), (11, e), (11, None), (11, ""), (11, a.upper() + " " + e), (11, e), (12, d + " x")]
@@ -89,6 +112,23 @@ def test_long_chain_is_one_component(spark):
     assert got == {**dict.fromkeys(range(1, 201), 1), 500: 500, 600: 500}
 
 
+def test_stages_take_any_columns(spark):
+    import corpus_pipeline as p
+
+    texts = ["The old man went to the house by the river and sat there for a while with his dog", "Der alte Mann ging zum Haus am Fluss und blieb dort eine Weile mit seinem Hund sitzen"]
+    names = "score, lang_pred, SCORE_, mark, component_id, n_lines, keep, id, token, a, u, print, piece, `a.b`".split(", ")
+    rows = [(k, texts[k % 2] + f" {k // 2 % 3}", ("en", "de")[k % 2], "src", 5, *[str(k)] * len(names)) for k in range(24)]
+    rows += [(None, None, None, None, None, *[None] * len(names)), (30, "", "en", "s", 0, *["e"] * len(names)), rows[3]]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame(rows, schema)
+    for table in (docs, docs.where("false")):
+        for _, stage in p.STAGES[:-1]:
+            table = p.checkpointed(stage(spark, table, None))
+            assert table.columns == docs.columns
+        packed = p.pack(spark, table, None)
+        assert packed.count() == table.count()
+
+
 def test_pipeline_matches_a_plain_version(spark, data):
     import corpus_pipeline as p
 
