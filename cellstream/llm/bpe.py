@@ -12,7 +12,7 @@ import hashlib
 import heapq
 import re
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import count, islice
 
@@ -22,10 +22,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellstream.llm.common import arrow_map, steps
+from cellstream.llm.common import arrow_map, row_steps
 
 #: Code points whose new pieces are replayed together.
 STEP_CHARS = 8_000_000
+#: Pieces that are spelled out together.
+OUT_PIECES = 100_000
 NONE = np.iinfo(np.int32).max
 DEAD = NONE - 1
 
@@ -165,7 +167,7 @@ def joined_rows(ids: np.ndarray, counts: np.ndarray, rows: list[list[int]]) -> t
 class Speller:
     """Keeps the tokens of pieces seen; new pieces are replayed together. Forgets all beyond `limit` pieces."""
 
-    def __init__(self, encode_pieces, limit: int = 400_000):
+    def __init__(self, encode_pieces, limit: int = 200_000):
         self.encode_pieces, self.limit = encode_pieces, limit
         self.clear()
 
@@ -173,10 +175,10 @@ class Speller:
         self.index: defaultdict[str, int] = defaultdict(count().__next__)
         self.flat = np.zeros(0, np.uint32)
         self.start = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
+        self.count = np.zeros(0, np.int32)
 
-    def spell(self, texts: Iterable[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts (lists of pieces) end to end, and how many each has."""
+    def spell(self, texts: Iterable[list[str]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The ids of texts (lists of pieces) end to end, and how many each text has, for some texts at a time in order."""
         if len(self.index) > self.limit:
             self.clear()
         known = len(self.index)
@@ -186,17 +188,22 @@ class Speller:
         if fresh:
             ids, counts = self.encode_pieces(fresh)
             self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(counts) - counts))
-            self.count = np.concatenate((self.count, counts))
+            self.count = np.concatenate((self.count, counts.astype(np.int32)))
             self.flat = np.concatenate((self.flat, ids.astype(np.uint32)))
-        if not rows:
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        sizes = np.array([len(r) for r in rows])
-        every = np.concatenate(rows)
-        lengths = self.count[every]
-        total = np.concatenate(([0], np.cumsum(lengths)))
-        where = np.repeat(self.start[every] - total[:-1], lengths) + np.arange(total[-1])
-        bounds = np.concatenate(([0], np.cumsum(sizes)))
-        return self.flat[where], np.diff(total[bounds])
+            del fresh, ids, counts
+        ends = np.cumsum([len(r) for r in rows])
+        begin = 0
+        while begin < len(rows):
+            done = ends[begin] - len(rows[begin])
+            end = max(begin + 1, int(np.searchsorted(ends, done + OUT_PIECES, side="right")))
+            every = np.concatenate(rows[begin:end])
+            lengths = self.count[every]
+            total = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
+            where = np.repeat(self.start[every] - total[:-1], lengths)
+            where += np.arange(total[-1])
+            bounds = np.concatenate(([0], ends[begin:end] - done))
+            yield self.flat[where], np.diff(total[bounds])
+            begin = end
 
 
 #: White_Space of Unicode, as the tokenizer's `\s` has it.
@@ -256,9 +263,10 @@ class ByteBpe:
             counts = np.array([len(s) for s in spelled], np.int64)
         return joined_rows(ids, counts, rows)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts end to end (unsigned 32-bit), and how many each has."""
-        return self.speller.spell(_UNITS.findall(t) for t in texts)
+    def encode(self, texts: list[str]) -> Iterator[list[np.ndarray]]:
+        """Ids (unsigned 32-bit) of the texts, for some of them at a time in order."""
+        for ids, counts in self.speller.spell(_UNITS.findall(t) for t in texts):
+            yield np.split(ids, np.cumsum(counts)[:-1])
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
@@ -273,7 +281,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
     """Token ids of every whole text, and the bytes they decode to.
 
     Returns key, ids array<bigint>, decoded binary. A null text counts as empty and gives no ids; a null key stays;
-    repeated rows give a row each; other columns are left out. Texts with a lone surrogate have it as `?`.
+    repeated rows give a row each, an empty table none; very long texts are encoded whole; other columns are left out.
+    Texts with a lone surrogate have it as `?`.
     `path` must exist on every executor (it is read there).
     """
     return _encoded(docs, path, pattern, text, key, digests=False)
@@ -290,22 +299,21 @@ def _encoded(docs: DataFrame, path: str, pattern: str, text: str, key: str, dige
 
     def run(batch: pa.RecordBatch):
         bpe = _byte_bpe(path, pattern)
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        for begin, end in steps(texts, STEP_CHARS):
-            ids, counts = bpe.encode(texts[begin:end])
-            stop = np.cumsum(counts)
-            rows = [ids[b - c : b] for b, c in zip(stop.tolist(), counts.tolist(), strict=True)]
-            decoded = [bpe.decode(r) for r in rows]
-            if digests:
-                columns = [
-                    pa.array(counts, pa.int64()),
-                    pa.array([hashlib.sha256(r.astype("<u4").tobytes()).hexdigest() for r in rows], pa.string()),
-                    pa.array([hashlib.sha256(d).hexdigest() for d in decoded], pa.string()),
-                ]
-                names = ["n_tokens", "ids_sha256", "decoded_sha256"]
-            else:
-                columns = [pa.array([r.astype(np.int64) for r in rows], pa.list_(pa.int64())), pa.array(decoded, pa.binary())]
-                names = ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), *columns], [key, *names])
+        for part in row_steps(batch, text, STEP_CHARS):
+            begin = 0
+            for rows in bpe.encode([t or "" for t in part.column(text).to_pylist()]):
+                decoded = [bpe.decode(r) for r in rows]
+                if digests:
+                    columns = [
+                        pa.array([len(r) for r in rows], pa.int64()),
+                        pa.array([hashlib.sha256(r.astype("<u4").tobytes()).hexdigest() for r in rows], pa.string()),
+                        pa.array([hashlib.sha256(d).hexdigest() for d in decoded], pa.string()),
+                    ]
+                    names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+                else:
+                    columns = [pa.array([r.astype(np.int64) for r in rows], pa.list_(pa.int64())), pa.array(decoded, pa.binary())]
+                    names = ["ids", "decoded"]
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(begin, len(rows)), *columns], [key, *names])
+                begin += len(rows)
 
     return arrow_map(docs.select(F.col(key), F.col(text)), run, f"`{key}` {kind}, {made}")

@@ -11,6 +11,7 @@ import json
 import re
 import zlib
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellstream.llm.bpe import SPACES, STEP_CHARS, Merges, Speller, joined_rows, replay
-from cellstream.llm.common import arrow_map, checkpointed, steps
+from cellstream.llm.common import arrow_map, checkpointed, row_steps
 
 CAPACITY = 2048
 
@@ -84,16 +85,17 @@ class WordBpe:
             counts = np.concatenate([counts, [len(a.ids) for a in asked]])
         return joined_rows(ids, counts, rows)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [k for k, t in enumerate(texts) if not _WHOLE.search(t)]
-        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
-        ids, counts = self.speller.spell(texts[k].split() for k in plain)
-        stop = np.cumsum(counts)
-        for k, b, c in zip(plain, stop.tolist(), counts.tolist(), strict=True):
-            out[k] = ids[b - c : b]
-        for k in set(range(len(texts))).difference(plain):
-            out[k] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, np.uint32)
-        return out
+    def encode(self, texts: list[str]) -> Iterator[list[np.ndarray]]:
+        """Ids (unsigned 32-bit) of the texts, for some of them at a time in order."""
+        whole = [bool(_WHOLE.search(t)) for t in texts]
+        begin = 0
+        for ids, counts in self.speller.spell([] if w else t.split() for t, w in zip(texts, whole, strict=True)):
+            rows = np.split(ids, np.cumsum(counts)[:-1])
+            for k in range(len(rows)):
+                if whole[begin + k]:
+                    rows[k] = np.array(self.tokenizer.encode(texts[begin + k], add_special_tokens=False).ids, np.uint32)
+            yield rows
+            begin += len(rows)
 
 
 @lru_cache(maxsize=1)
@@ -111,22 +113,24 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, ids: bool
 
     def run(batch: pa.RecordBatch):
         bpe = _word_bpe(path)
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        for begin, end in steps(texts, STEP_CHARS):
-            of, piece, start, length, crc, kept = [], [], [], [], [], []
-            for k, row in enumerate(bpe.encode(texts[begin:end])):
-                row = np.append(row, 0).astype("<u4")
-                for p, at in enumerate(range(0, len(row), capacity)):
-                    part = row[at : at + capacity]
-                    of.append(begin + k)
-                    piece.append(p)
-                    start.append(at)
-                    length.append(len(part))
-                    crc.append(zlib.crc32(part.tobytes()))
-                    if ids:
-                        kept.append(part.astype(np.int64))
-            columns = [batch.column(0).take(pa.array(of, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
-            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(kept, pa.list_(pa.int64()))] if ids else [])], names)
+        for held in row_steps(batch, "text", STEP_CHARS):
+            first = 0
+            for rows in bpe.encode([t or "" for t in held.column(1).to_pylist()]):
+                of, piece, start, length, crc, kept = [], [], [], [], [], []
+                for k, row in enumerate(rows, first):
+                    row = np.append(row, np.uint32(0)).astype("<u4", copy=False)
+                    for p, at in enumerate(range(0, len(row), capacity)):
+                        part = row[at : at + capacity]
+                        of.append(k)
+                        piece.append(p)
+                        start.append(at)
+                        length.append(len(part))
+                        crc.append(zlib.crc32(part))
+                        if ids:
+                            kept.append(part.astype(np.int64))
+                first += len(rows)
+                columns = [held.column(0).take(pa.array(of, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
+                yield pa.RecordBatch.from_arrays([*columns, *([pa.array(kept, pa.list_(pa.int64()))] if ids else [])], names)
 
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<bigint>" * ids
     return arrow_map(docs.select("doc_id", "text"), run, schema).withColumn("deal", F.spark_partition_id())
@@ -241,7 +245,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, ids: bool = False
 
     Returns per piece doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, if asked for). A null or
     empty text is the end token alone; null keys and repeated rows are packed as they come; other columns are left out;
-    no document gives no sequence. Every rank is found from counts per task and length, so no length, however common,
+    no document gives no sequence; very long texts are cut into pieces. Every rank is found from counts per task and length, so no length, however common,
     is gathered anywhere; the driver sees `capacity` counters at most.
     """
     pieces = checkpointed(token_pieces(docs, path, capacity, ids))
