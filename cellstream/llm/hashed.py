@@ -8,32 +8,44 @@ from pyspark.sql import functions as F
 
 from cellstream.llm.common import fit_temperature
 
-#: Longest text that a training sample takes, in code points. Scoring has no such bound.
-TRAIN_CHARS = 100_000
+#: Longest text that a training sample takes, in code points, so that the driver holds a bounded sample. Scoring has no such bound.
+TRAIN_CHARS = 20_000
+#: Labels that a model tells apart at most.
+MOST_LABELS = 256
 #: A small sample is learnt in more epochs, until it has given about so many updates.
 LEAST_UPDATES = 6_000
 
 
+def sampling_threshold(per_label: int, n: int) -> int:
+    """The signed 64-bit hash below which a row is chosen, so that about `per_label` of n rows are."""
+    return min((1 << 63) - 1, -(1 << 63) + (per_label << 64) // max(1, n))
+
+
 def labelled_sample(rows: DataFrame, per_label: int, key: str = "doc_id", text: str = "text", label: str = "label", labels: DataFrame | None = None) -> list[tuple]:
     """About `per_label` rows of each label, as (key, text, label) in key order: a bounded sample, chosen by key hash.
 
-    With `labels` (key, label), they are sampled first and the few chosen keys are sent to the rows' side.
-    Rows with a null text or one above TRAIN_CHARS, or with a null label, aren't taken.
+    With `labels` (key, label), they are sampled first and the few chosen keys are sent to the rows' side. Rows with a null
+    text or one above TRAIN_CHARS, or with a null label, aren't taken. The sample hangs on keys, texts and labels alone;
+    where repeated rows would make it more than twice as large, those of the smallest hashes are taken. More than
+    MOST_LABELS labels are an error.
     """
     told = (rows if labels is None else labels).where(F.col(label).isNotNull() & F.col(key).isNotNull())
-    counts = {r[label]: r["n"] for r in told.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), label).limit(256).collect()}
+    counts = {r[label]: r["n"] for r in told.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(MOST_LABELS + 1).collect()}
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"there are more than {MOST_LABELS} labels")
     if not counts:
         return []
-    size = 1 << 20
-    rate = F.lit(0)
-    for value, n in counts.items():
-        rate = F.when(F.col(label) == F.lit(value), F.lit(int(min(1.0, per_label / n) * size))).otherwise(rate)
-    chosen = told.where(F.pmod(F.xxhash64(F.col(key)), F.lit(size)) < rate)
+    below = F.lit(None).cast("bigint")
+    for value, n in sorted(counts.items()):
+        below = F.when(F.col(label) == F.lit(value), F.lit(sampling_threshold(per_label, n))).otherwise(below)
+    bound = 2 * per_label * len(counts)
+    chosen = told.where(F.xxhash64(F.col(key)) <= below)
     if labels is not None:
-        chosen = chosen.groupBy(key).agg(F.max(label).alias(label)).limit(2 * per_label * len(counts))
+        chosen = chosen.groupBy(key).agg(F.max(label).alias(label)).orderBy(F.xxhash64(F.col(key)), key).limit(bound)
         chosen = rows.select(key, text).join(F.broadcast(chosen), key)
-    chosen = chosen.where(F.length(text) <= TRAIN_CHARS).select(key, text, label).limit(2 * per_label * len(counts))
-    return sorted((tuple(r) for r in chosen.collect()), key=lambda r: (r[0], r[1]))
+    chosen = chosen.where(F.length(text) <= TRAIN_CHARS).select(key, text, label)
+    chosen = chosen.orderBy(F.xxhash64(F.col(key)), key, F.xxhash64(text), label).limit(bound)
+    return sorted((tuple(r) for r in chosen.collect()), key=lambda r: (r[0], r[1], r[2]))
 
 
 def char_grams(texts: list[str], bits: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
