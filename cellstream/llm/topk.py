@@ -12,10 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellstream.llm.common import arrow_map, checkpointed
+from cellstream.llm.common import arrow_map, checkpointed, mixed
 
 BLOCK = 2048
 QUERY_BLOCK = 512
@@ -25,6 +26,8 @@ SEEDS = 2048
 LEADING = 24
 #: Bins of the norms of blocks, by which the driver learns how many blocks a query block needs.
 BINS = 4096
+#: Query blocks that one copy of a block of vectors serves; a block that more of them want is copied.
+SERVED = 64
 #: Sums below this are exact in double precision.
 EXACT = float(1 << 52)
 
@@ -36,19 +39,24 @@ def integer_vectors(rows: DataFrame, key: str, column: str, scale: float) -> Dat
     Rows of one key count once (the least vector by norm and bytes).
     """
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        ids, norms, packed = [], [], []
-        for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if k is None or not v or any(x is None for x in v):
-                continue
-            scaled = np.floor(scale * np.array(v, np.float64))
-            if not np.isfinite(scaled).all():
-                continue
-            whole = scaled.astype(np.int64)
-            ids.append(k)
-            norms.append(float(np.sqrt((scaled * scaled).sum())))
-            packed.append(whole.tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(norms, pa.float64()), pa.array(packed, pa.binary())], ["id", "norm", "vec"])
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys, lists = batch.column(0), batch.column(1)
+        flat = lists.flatten()  # of the lists that aren't null
+        sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy()
+        absent = pa.compute.is_null(flat).to_numpy(zero_copy_only=False)
+        with np.errstate(invalid="ignore", over="ignore"):
+            scaled = np.floor(scale * pa.compute.fill_null(flat, 0).to_numpy(zero_copy_only=False).astype(np.float64))
+        odd = absent | ~np.isfinite(scaled)
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        odds = np.concatenate(([0], np.cumsum(odd)))
+        good = np.flatnonzero((sizes > 0) & (odds[ends] == odds[starts]) & pa.compute.is_valid(keys).to_numpy(zero_copy_only=False))
+        packed, norms = [], []
+        for k in good.tolist():
+            v = scaled[starts[k] : ends[k]]
+            norms.append(float(np.sqrt(v @ v)))
+            packed.append(v.astype(np.int64).tobytes())
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(good)), pa.array(norms, pa.float64()), pa.array(packed, pa.binary())], ["id", "norm", "vec"])
 
     made = arrow_map(rows.select(F.col(key).cast("bigint"), column), run, "id bigint, norm double, vec binary")
     return made.groupBy("id").agg(F.min(F.struct("norm", "vec")).alias("v")).select("id", "v.norm", "v.vec")
@@ -62,8 +70,13 @@ def _matrix(packed: list[bytes], width: int) -> np.ndarray:
     return out
 
 
-def _blocks(rows: DataFrame, size: int, width: int) -> DataFrame:
-    """Blocks of `size` vectors by descending norm: part, nth, top (largest norm), ids, vecs."""
+def _narrowest(norm: float) -> type:
+    """The integers in which vectors of at most this norm travel."""
+    return next((t for t in (np.int16, np.int32) if norm < np.iinfo(t).max - 1), np.int64)
+
+
+def _blocks(rows: DataFrame, size: int, width: int, kind: type) -> DataFrame:
+    """Blocks of `size` vectors by descending norm: part, nth, top (largest norm), ids, vecs (as integers of a kind)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyspark
@@ -71,7 +84,7 @@ def _blocks(rows: DataFrame, size: int, width: int) -> DataFrame:
         part, nth, ids, norms, vecs = pyspark.TaskContext.get().partitionId(), 0, [], [], []
 
         def out(n: int) -> pa.RecordBatch:
-            row = [[part], [nth], [norms[0]], [np.array(ids[:n], np.int64).tobytes()], [_matrix(vecs[:n], width).tobytes()]]
+            row = [[part], [nth], [norms[0]], [np.array(ids[:n], np.int64).tobytes()], [_matrix(vecs[:n], width).astype(kind).tobytes()]]
             kinds = (pa.int32(), pa.int32(), pa.float64(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], ["part", "nth", "top", "ids", "vecs"])
 
@@ -140,13 +153,13 @@ def top_inner_products(rows: DataFrame, every: int, k: int = 5, key: str = "vec_
     rotation = np.linalg.svd(whole)[0]  # right singular vectors of all vectors, leading ones first
     leading = min(LEADING, width)
 
-    blocks = checkpointed(_blocks(vectors, BLOCK, width))
+    highest = vectors.agg(F.max("norm")).first()[0]
+    small = _narrowest(highest)
+    blocks = checkpointed(_blocks(vectors, BLOCK, width, small))
     sizes = {r["part"]: r["n"] for r in blocks.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a partition
     offsets, total = {}, 0
     for p in sorted(sizes):
         offsets[p], total = total, total + sizes[p]
-    numbered = blocks.withColumn("block", F.element_at(F.create_map(*(F.lit(x) for kv in offsets.items() for x in kv)), F.col("part")) + F.col("nth"))
-    highest = blocks.agg(F.max("top")).first()[0]
     step = (highest or 1.0) / (BINS - 1)
     counted = {r["bin"]: r["n"] for r in blocks.groupBy(F.floor(F.col("top") / step).alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()}
     reach = np.zeros(BINS + 2, np.int64)  # blocks whose largest norm is in this bin or above
@@ -158,7 +171,7 @@ def top_inner_products(rows: DataFrame, every: int, k: int = 5, key: str = "vec_
 
     def first_scores(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for ids, vecs in zip(batch.column("ids").to_pylist(), batch.column("vecs").to_pylist(), strict=True):
-            own, q = np.frombuffer(ids, np.int64), np.frombuffer(vecs, np.int64).reshape(-1, width)
+            own, q = np.frombuffer(ids, np.int64), np.frombuffer(vecs, small).reshape(-1, width).astype(np.int64)
             scores = _dots(q, seeds)
             low, need = np.full(len(own), -np.inf), np.inf
             for n in range(len(own)):
@@ -172,14 +185,40 @@ def top_inner_products(rows: DataFrame, every: int, k: int = 5, key: str = "vec_
                 [pa.array([ids], pa.binary()), pa.array([vecs], pa.binary()), pa.array([low.tobytes()], pa.binary()), pa.array([wanted], pa.int32())], ["q_ids", "q_vecs", "low", "wanted"]
             )
 
-    asked = _blocks(vectors.where(F.col("id") % every == 0), QUERY_BLOCK, width)
-    asked = arrow_map(asked, first_scores, "q_ids binary, q_vecs binary, low binary, wanted int").where("wanted > 0")
-    pairs = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("wanted") - 1))).join(numbered.select("block", "ids", "vecs"), "block")
+    asked = _blocks(vectors.where(F.col("id") % every == 0), QUERY_BLOCK, width, small)
+    asked = checkpointed(arrow_map(asked, first_scores, "q_ids binary, q_vecs binary, low binary, wanted int").where("wanted > 0"))
+    # how many query blocks want each block: those that want more blocks than its number, of BINS numbers at most
+    wants = sorted((r["wanted"], r["n"]) for r in asked.groupBy("wanted").agg(F.count(F.lit(1)).alias("n")).collect())
+    edges = np.array([w for w, _ in wants], np.int64)
+    served = np.append(np.cumsum([n for _, n in reversed(wants)])[::-1], 0)
+
+    def copies(block: np.ndarray) -> np.ndarray:
+        return -(-served[np.searchsorted(edges, block, side="right")] // SERVED)
+
+    def offered(batch: pa.RecordBatch) -> pa.RecordBatch:
+        block = np.array([offsets[p] for p in batch.column("part").to_pylist()], np.int64) + batch.column("nth").to_numpy()
+        many = copies(block)
+        where = np.repeat(np.arange(len(block)), many)
+        copy = np.arange(len(where)) - np.repeat(np.cumsum(many) - many, many)
+        rows = batch.take(pa.array(where))
+        return pa.RecordBatch.from_arrays([pa.array(block[where]), pa.array(copy, pa.int64()), rows.column("ids"), rows.column("vecs")], ["block", "copy", "ids", "vecs"])
+
+    def spread(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for k, (wanted, ids) in enumerate(zip(batch.column("wanted").to_pylist(), batch.column("q_ids").to_pylist(), strict=True)):
+            own = int(mixed(np.frombuffer(ids[:8], np.uint64))[0] >> np.uint64(1))
+            for begin in range(0, wanted, SERVED):
+                block = np.arange(begin, min(wanted, begin + SERVED), dtype=np.int64)
+                copy = own % np.maximum(1, copies(block))
+                row = batch.take(pa.array(np.full(len(block), k)))
+                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(copy, pa.int64()), *(row.column(n) for n in ("q_ids", "q_vecs", "low"))], ["block", "copy", "q_ids", "q_vecs", "low"])
+
+    blocks = arrow_map(blocks, offered, "block bigint, copy bigint, ids binary, vecs binary")
+    pairs = arrow_map(asked, spread, "block bigint, copy bigint, q_ids binary, q_vecs binary, low binary").join(blocks, ["block", "copy"])
 
     def search(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for q_ids, q_vecs, low, ids, vecs in zip(*(batch.column(n).to_pylist() for n in ("q_ids", "q_vecs", "low", "ids", "vecs")), strict=True):
             own, least, candidates = np.frombuffer(q_ids, np.int64), np.frombuffer(low), np.frombuffer(ids, np.int64)
-            q, c = (np.frombuffer(v, np.int64).reshape(-1, width) for v in (q_vecs, vecs))
+            q, c = (np.frombuffer(v, small).reshape(-1, width).astype(np.int64) for v in (q_vecs, vecs))
             turned_q, turned_c = q @ rotation, c @ rotation
             bound = turned_q[:, :leading] @ turned_c[:, :leading].T
             rest_q, rest_c = (np.sqrt((t[:, leading:] ** 2).sum(axis=1)) for t in (turned_q, turned_c))
