@@ -1,9 +1,11 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A first transducer reads a text and writes events: insults (full words and stems, learnt with weights from labelled rows),
-threats, targets, negations, reported speech and clause ends. A second one reads the events of a clause and writes scored
-matches: an insult counts more beside a target, less under negation or reported speech, and a threat needs a target. The
-composition scores matched clauses, not isolated words; a logistic regression calibrates the clause scores of a text.
+Each clause is a tape of words. Taggers write a letter for each word: insult (full words and stems, whose arcs have weights
+learnt from labelled rows), threat, target, negation, reported speech, or other. Three transducers mark the insults and
+threats that a target, a negation or reported speech reaches, a mirrored one those that a target follows, and a last one
+turns marked letters into matches: an insult counts by itself, beside a target, negated or reported, and a threat needs a
+target. They are composed to one machine, which so scores matched clauses, not isolated words; a logistic regression
+calibrates the clause scores of a text.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellstream.llm.common import BASE, Words, arrow_map, logistic, mixed, shingles, steps
+from cellstream.llm.common import BASE, STEP_BYTES, Words, arrow_map, logistic, mixed, row_steps, shingles, steps
 from cellstream.llm.hashed import labelled_sample
 
 #: Labelled rows of each label that lexicon and weights are learnt from, at most about.
@@ -39,13 +41,75 @@ NEGATIONS = "not never no nor isnt arent wasnt dont doesnt nicht kein keine kein
 REPORTS = "said says saying quoted quote wrote claims claimed reported reportedly alleged sagte sagt zitierte schrieb behauptet dit disait cite selon dijo dice cita citado".split()
 THREATS = "kill hurt destroy beat punch stab shoot burn murder crush töten schlagen umbringen vernichten tuer frapper détruire matar golpear destruir".split()
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(6)
+#: Letters of the grammar, and the marks that transducers add to them.
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+TARGETED, NEGATED, REPORTED = 8, 16, 32
+LETTERS = tuple(kind | marks for kind in range(6) for marks in range(0, 64, 8))
 #: Words of a clause that a target, a negation and reported speech reach ahead.
 REACH = {TARGET: 4, NEGATION: 3, REPORT: 8}
 FEATURES = ("plain", "targeted", "negated", "reported", "threat", "best", "clauses")
 _WORD = re.compile(r"\w+|[.!?;\n]+")
 
 
+@dataclass(frozen=True)
+class Transducer:
+    """Arcs (state, letter) -> (state, output, weight) over all letters, from state 0; weights of a path multiply."""
+
+    arcs: dict[tuple, tuple]
+    start: object = 0
+
+    def then(self, other: Transducer) -> Transducer:
+        """The composition: `other` reads what this one writes."""
+        start, arcs = (self.start, other.start), {}
+        todo, known = [start], {start}
+        while todo:
+            at = todo.pop()
+            for letter in LETTERS:
+                here, middle, weight = self.arcs[at[0], letter]
+                there, out, factor = other.arcs[at[1], middle]
+                arcs[at, letter] = (here, there), out, weight * factor
+                if (here, there) not in known:
+                    known.add((here, there))
+                    todo.append((here, there))
+        return Transducer(arcs, start)
+
+    def run(self, tape: list[tuple[int, float]]) -> list[tuple[int, float]]:
+        """The outputs for (letter, weight) in turn, each with its weight times that of the arc."""
+        out, state = [], self.start
+        for letter, weight in tape:
+            state, made, factor = self.arcs[state, letter]
+            out.append((made, weight * factor))
+        return out
+
+
+def reaching(trigger: int, mark: int) -> Transducer:
+    """Marks insults and threats within REACH words after a trigger; its state is how many words it still reaches."""
+    arcs = {}
+    for state in range(REACH[trigger] + 1):
+        for letter in LETTERS:
+            kind = letter & 7
+            after = REACH[trigger] if kind == trigger else max(0, state - 1)
+            arcs[state, letter] = after, letter | mark if state and kind in (INSULT, THREAT) else letter, 1.0
+    return Transducer(arcs)
+
+
+def scoring() -> Transducer:
+    """Writes for each marked letter the number of its match in FEATURES, from 1, or 0."""
+    arcs = {}
+    for letter in LETTERS:
+        name = None
+        if letter & 7 == THREAT:
+            name = "threat" if letter & TARGETED and not letter & NEGATED else None
+        elif letter & 7 == INSULT:
+            name = "negated" if letter & NEGATED else "reported" if letter & REPORTED else "targeted" if letter & TARGETED else "plain"
+        arcs[0, letter] = 0, 1 + FEATURES.index(name) if name else 0, 1.0
+    return Transducer(arcs)
+
+
+AHEAD = reaching(TARGET, TARGETED)
+GRAMMAR = reaching(TARGET, TARGETED).then(reaching(NEGATION, NEGATED)).then(reaching(REPORT, REPORTED)).then(scoring())
+
+
 def stems_of(word: str) -> list[str]:
     return [word[:n] for n in STEM_LENGTHS if len(word) >= n]
 
@@ -77,40 +141,23 @@ class Lexicon:
         held = Counter(stem for w in words for stem in stems_of(w) if stem in self.stems)
         return {stem: self.stems[stem] for stem, n in held.items() if n >= STEM_WORDS}
 
-    def events(self, clause: str, stems: dict[str, float] | None = None) -> list[tuple[int, int, float]]:
-        """First transducer: (word number, kind, weight) of the words that the grammar knows, by full words and `stems`."""
+    def tape(self, clause: str, stems: dict[str, float] | None = None) -> list[tuple[int, float]]:
+        """What the taggers write: letter and weight of each word, by full words and `stems`."""
         out = []
-        for k, m in enumerate(_WORD.finditer(clause)):
-            word = m.group()
+        for word in _WORD.findall(clause):
             if (kind := self.marks.get(word)) is not None:
-                out.append((k, kind, 1.0))
+                out.append((kind, 1.0))
             elif w := self.words.get(word) or max(((stems or {}).get(stem, 0.0) for stem in stems_of(word)), default=0.0):
-                out.append((k, INSULT, w))
+                out.append((INSULT, w))
+            else:
+                out.append((OTHER, 1.0))
         return out
 
 
-def clause_matches(events: list[tuple[int, int, float]]) -> list[tuple[str, float]]:
-    """Second transducer: scored matches of one clause.
-
-    Its state is how many words ahead the last target, negation and report still reach; a target may follow as well.
-    """
-    out = []
-    reach = {TARGET: -1, NEGATION: -1, REPORT: -1}
-    for n, (k, kind, weight) in enumerate(events):
-        if kind in reach:
-            reach[kind] = k + REACH[kind]
-            continue
-        targeted = k <= reach[TARGET] or any(x == TARGET and at <= k + REACH[TARGET] for at, x, _ in events[n + 1 : n + 4])
-        if kind == THREAT:
-            if targeted and k > reach[NEGATION]:
-                out.append(("threat", weight))
-        elif k <= reach[NEGATION]:
-            out.append(("negated", weight))
-        elif k <= reach[REPORT]:
-            out.append(("reported", weight))
-        else:
-            out.append(("targeted" if targeted else "plain", weight))
-    return out
+def clause_matches(tape: list[tuple[int, float]]) -> list[tuple[str, float]]:
+    """Scored matches of one clause; a target may follow as well, which the mirrored tape tells."""
+    mirrored = AHEAD.run(tape[::-1])
+    return [(FEATURES[made - 1], weight) for made, weight in GRAMMAR.run(mirrored[::-1]) if made]
 
 
 _CLAUSE_END = re.compile(r"[.!?;\n]")
@@ -130,10 +177,10 @@ def features(text: str | None, lexicon: Lexicon) -> np.ndarray:
     for spot in sorted(spots):
         if spot < done:
             continue
-        begin = max((lowered.rfind(c, 0, spot) for c in ".!?;\n"), default=-1) + 1
+        begin = max((lowered.rfind(c, max(done - 1, 0), spot) for c in ".!?;\n"), default=-1) + 1
         end = m.end() if (m := _CLAUSE_END.search(lowered, spot)) else len(lowered)
         done = end
-        matches = clause_matches(lexicon.events(lowered[begin:end], stems))
+        matches = clause_matches(lexicon.tape(lowered[begin:end], stems))
         clauses += bool(matches)
         for kind, weight in matches:
             x[FEATURES.index(kind)] += weight
@@ -255,13 +302,13 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Tox
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id and score (0 to 1) of every whole text; a null or empty one has the score of a text without matches.
 
-    Null keys and repeated rows give a row each; other columns are left out.
+    Null keys and repeated rows give a row each, an empty table none; very long texts are read whole, in time that grows
+    with their length; other columns are left out.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batch: pa.RecordBatch):
-        texts = batch.column(1).to_pylist()
-        for begin, end in steps(texts):
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(model.score(texts[begin:end]), pa.float64())], ["doc_id", "score"])
+        for part in row_steps(batch, "text", STEP_BYTES):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(part.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
 
     return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, score double")
