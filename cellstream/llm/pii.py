@@ -268,7 +268,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", keep: tuple[str,
 
     A null text stays null with 0; an empty one stays empty. What looks like personal data but isn't valid (a number that
     fails Luhn's rule, an address with an octet above 255, a day that no month has) is left as it is. Null keys and
-    repeated rows give a row each. `keep` must not hold a column named like the text or n_replaced.
+    repeated rows give a row each, an empty table none; very long texts are searched whole. `keep` must not hold a column named like the text or n_replaced.
     """
     value = F.col(text)
     found = F.regexp_extract_all(value, F.lit(ANY), F.lit(0))

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cellstream.llm.common import MIX_1, Words, arrow_map, mixed, shingles, steps
+from cellstream.llm.common import MIX_1, Words, arrow_map, mixed, row_steps, shingles
 from cellstream.llm.hashed import char_grams, fit_calibrated, labelled_sample
 
 CHAR_BITS = 14
@@ -118,20 +118,20 @@ def judge(docs: DataFrame, model: QualityModel | None, threshold: float = THRESH
     """Counts, base verdict, probability and verdict of every whole text.
 
     A null text has no words and fails the base rules. Without a model the base rules alone decide. Null keys and
-    repeated rows give a row each; other columns are left out.
+    repeated rows give a row each, an empty table none; very long texts are judged whole; other columns are left out.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     counted = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def run(batch: pa.RecordBatch):
-        texts = batch.column(1).to_pylist()
-        for begin, end in steps(texts, STEP_CHARS):
-            found = base_rules(texts[begin:end])
-            p = model.probability(texts[begin:end]) if model else np.ones(end - begin)
+        for part in row_steps(batch, "text", STEP_CHARS):
+            texts = part.column(1).to_pylist()
+            found = base_rules(texts)
+            p = model.probability(texts) if model else np.ones(len(texts))
             kept = ~found["base_failed"] & (p >= threshold)
             columns = [pa.array(found[k], pa.int64()) for k in counted]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(begin, end - begin), *columns, pa.array(found["base_failed"]), pa.array(kept), pa.array(p, pa.float64())],
+                [part.column(0), *columns, pa.array(found["base_failed"]), pa.array(kept), pa.array(p, pa.float64())],
                 ["doc_id", *counted, "base_failed", "kept", "probability"],
             )
 

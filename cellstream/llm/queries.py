@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from secrets import token_hex
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,9 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(read_table(spark, sf_dir, "documents"), key="cellstream")
+    """The key is the session's `cellstream.pseudonym.key`; without one each run draws its own, so that runs don't link."""
+    key = spark.conf.get("cellstream.pseudonym.key", None) or token_hex(16)
+    return pii.pseudonymise(read_table(spark, sf_dir, "documents"), key=key)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

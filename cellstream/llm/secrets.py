@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, lru_cache
 from re import _constants as sre
 from re import _parser as parser
 
@@ -19,8 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellstream.llm.common import arrow_map, steps
+from cellstream.llm.common import arrow_map, row_steps
 
+#: Bytes of text whose trigrams are indexed together.
+STEP_BYTES = 1_000_000
 #: Largest number of alternatives that a query keeps apart.
 MAX_STRINGS = 64
 
@@ -73,11 +75,11 @@ def _one(op, value) -> tuple[set[str] | None, Query]:
         for kind, x in value:
             if kind is sre.LITERAL:
                 chars.add(chr(x).lower())
-            elif kind is sre.RANGE and x[1] - x[0] < 4:
+            elif kind is sre.RANGE and x[1] - x[0] < MAX_STRINGS:
                 chars |= {chr(c).lower() for c in range(x[0], x[1] + 1)}
             else:
                 return None, ANYTHING
-        return (chars, ANYTHING) if len(chars) <= 4 else (None, ANYTHING)
+        return (chars, ANYTHING) if len(chars) <= MAX_STRINGS else (None, ANYTHING)
     if op is sre.SUBPATTERN:
         return _sequence(value[-1])
     if op is sre.BRANCH:
@@ -162,6 +164,15 @@ MORE = (
 RULES = (*BASE, *MORE)
 
 
+@lru_cache(maxsize=1)
+def _numbers(grams: tuple[str, ...]) -> np.ndarray:
+    """For each three bytes the place of their trigram among `grams`, from 1, or 0."""
+    number = np.zeros(1 << 24, np.uint8)
+    for k, g in enumerate(grams, 1):
+        number[int.from_bytes(g.encode(), "big")] = k
+    return number
+
+
 class TrigramIndex:
     """Which texts of a batch hold each of some trigrams. Letters A-Z count as a-z."""
 
@@ -169,10 +180,7 @@ class TrigramIndex:
         encoded = [t.encode("utf-8", "surrogatepass") for t in texts]
         raw = np.frombuffer((b"\n\n\n".join(encoded) + b"\n\n\n").lower(), np.uint8).astype(np.uint32)
         codes = (raw[:-2] << np.uint32(16)) | (raw[1:-1] << np.uint32(8)) | raw[2:]
-        number = np.zeros(1 << 24, np.uint8)
-        for k, g in enumerate(grams):
-            number[int.from_bytes(g.encode(), "big")] = k + 1
-        found = number[codes]
+        found = _numbers(tuple(grams))[codes]
         at = np.flatnonzero(found)
         of = np.searchsorted(np.cumsum([len(e) + 3 for e in encoded]), at, side="right")
         held = np.zeros((len(grams) + 1, len(texts)), bool)
@@ -203,20 +211,20 @@ def listed(spans: list[tuple[int, int, int]], rules: tuple[Rule, ...] = RULES) -
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: int = len(BASE)) -> DataFrame:
     """Secrets of every whole text: doc_id, counts of the first `base` kinds, base_sha256, spans.
 
-    A null text counts as empty (no spans, SHA-256 of nothing). Null keys and repeated rows give a row each; other
+    A null text counts as empty (no spans, SHA-256 of nothing). Null keys and repeated rows give a row each, an empty
+    table none; very long texts are searched whole. Spans that start together stand in the order of the rules; other
     columns are left out.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = [f"n_{r.kind}" for r in rules[:base]]
 
     def run(batch: pa.RecordBatch):
-        texts = batch.column(1).to_pylist()
-        for begin, end in steps(texts):
-            found = find(texts[begin:end], rules)
+        for part in row_steps(batch, "text", STEP_BYTES):
+            found = find(part.column(1).to_pylist(), rules)
             counts = [pa.array([sum(s[1] == k for s in f) for f in found], pa.int64()) for k in range(base)]
             digest = [hashlib.sha256(listed([s for s in f if s[1] < base], rules).encode()).hexdigest() for f in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(begin, end - begin), *counts, pa.array(digest, pa.string()), pa.array([listed(f, rules) for f in found], pa.string())],
+                [part.column(0), *counts, pa.array(digest, pa.string()), pa.array([listed(f, rules) for f in found], pa.string())],
                 ["doc_id", *names, "base_sha256", "spans"],
             )
 
@@ -235,17 +243,18 @@ def redacted(text: str, spans: list[tuple[int, int, int]], mask: str) -> str:
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """`docs` with the secrets of `text` masked, all columns and rows kept (n_chars, if there, counts anew). Null stays null."""
+    """`docs` with the secrets of `text` masked, all columns and rows kept (n_chars, if there, counts anew).
+
+    A null text stays null, an empty one empty; repeated rows and null keys stay; very long texts are searched whole.
+    """
     names = docs.columns
     place = names.index("text")
 
     def run(batch: pa.RecordBatch):
-        texts = batch.column(place).to_pylist()
-        for begin, end in steps(texts):
-            part = texts[begin:end]
+        for rows in row_steps(batch, "text", STEP_BYTES):
+            part = rows.column(place).to_pylist()
             done = [redacted(t, s, mask) if s else t for t, s in zip(part, find(part, rules), strict=True)]
-            rows = batch.slice(begin, end - begin)
             yield pa.RecordBatch.from_arrays([pa.array(done, pa.string()) if k == place else rows.column(k) for k in range(len(names))], names)
 
-    out = arrow_map(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    out = arrow_map(docs, run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
