@@ -449,6 +449,16 @@ def _component_links(size: int, percent: int):
     return run
 
 
+def joined_apart(rows: DataFrame, told: DataFrame, key: str) -> DataFrame:
+    """`rows` joined with `told`, which was grouped by the whole number `key`, so that a key of very many rows may be split.
+
+    The join is on another expression than the grouping: both sides are shuffled for it alone, which lets the planner deal a
+    skewed partition to several tasks at run time.
+    """
+    told = told.withColumnRenamed(key, "__key")
+    return rows.join(told, rows[key].bitwiseXOR(F.lit(1)) == told["__key"].bitwiseXOR(F.lit(1))).drop("__key")
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """node and component (its smallest reachable node) of an undirected graph (a, b), by large and small stars.
 
@@ -461,12 +471,6 @@ def connected(edges: DataFrame) -> DataFrame:
         ends = F.array(F.struct("u", "v", F.lit(True).alias(flag)), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), F.lit(False).alias(flag)))
         return edges.select(F.explode(ends).alias("e")).select("e.*")
 
-    def with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
-        # joined on another expression than the one that `least` is grouped by, so that both sides are shuffled for the
-        # join alone and a node of very many edges may be split at run time
-        least = least.select(F.col("u").bitwiseXOR(F.lit(1)).alias("w"), "m")
-        return rows.join(least, rows["u"].bitwiseXOR(F.lit(1)) == least["w"]).drop("w")
-
     while True:
         # done when every node has one edge down, to a node that has none
         ends = both_ways(edges, "down").groupBy("u").agg(F.count_if("down").alias("down"), F.bool_or(~F.col("down")).alias("up"))
@@ -475,9 +479,9 @@ def connected(edges: DataFrame) -> DataFrame:
             break
         before, edges = edges, edges.coalesce(LEAST_PARTS + n // PART_EDGES)
         least = both_ways(edges, "down").groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = with_least(both_ways(edges, "down").where("not down"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = joined_apart(both_ways(edges, "down").where("not down"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = with_least(large, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).distinct()
+        small = joined_apart(large, least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).distinct()
         edges = checkpointed(small)
         drop_checkpoint(before)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v")).distinct())
@@ -505,7 +509,7 @@ def _large_links(own: DataFrame, large: DataFrame, found: DataFrame, in_block) -
     trees = checkpointed(trees.select("id", "component", F.coalesce("tree", "id").alias("tree")))
     sizes = trees.groupBy("component", "tree").agg(F.count(F.lit(1)).alias("rows"))
     main = sizes.groupBy("component").agg(F.max_by("tree", F.struct("rows", "tree")).alias("main"))
-    loose = trees.join(main, "component").where("tree <> main").select("id")
+    loose = joined_apart(trees, main, "component").where("tree <> main").select("id")
     loose = checkpointed(loose.join(texts, "id"))
     if loose.isEmpty():
         return links
@@ -549,7 +553,7 @@ def link_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
     groups = connected(found.select("a", "b")).withColumnRenamed("node", "id").join(classes.select("id", "mark", "n"), "id")
     groups = groups.withColumn("n", F.col("n") + ROW_WEIGHT)
     weights = groups.groupBy("component").agg(F.sum("n").alias("weight"))
-    groups = groups.join(weights, "component").withColumn("parts", F.ceil(F.col("weight") / GROUP_WEIGHT).cast("int"))
+    groups = joined_apart(groups, weights, "component").withColumn("parts", F.ceil(F.col("weight") / GROUP_WEIGHT).cast("int"))
     groups = checkpointed(groups.select("id", "mark", "component", "parts", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part")))
 
     def in_block(held: pd.DataFrame) -> pd.DataFrame:
@@ -572,6 +576,8 @@ def link_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
         parts = checkpointed(parts)
     named = classes.select("print", "id").join(parts.withColumnRenamed("node", "id"), "id", "left")
     named = checkpointed(named.select("print", F.coalesce("component", "id").alias("component_id")))
+    for done in (found, groups, classes):
+        drop_checkpoint(done)
     out = rows.select("doc_id", "mark", F.col("n").alias("n_shingles"), "print").join(named, "print", "left")
     if siblings:  # a text without words goes with its document
         met = repeated.join(parts, F.col("doc_id") == F.col("node")).select("doc_id", "component")
