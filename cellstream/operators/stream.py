@@ -324,8 +324,11 @@ class RecordStream(_Stream):
     def plan(self) -> StreamPlan:
         return self._access(self._leading)[1] if self._access else plan_of(self._leading, {})
 
-    def explain(self, consumer: Callable[[StreamPlan], None] = print) -> RecordStream:
+    def explain(self, consumer: Callable[[StreamPlan | str], None] = print, physical: bool = False) -> RecordStream:
+        """Tell the access path, and with `physical` what each stage will do on the cluster."""
         consumer(self.plan())
+        if physical:
+            consumer(self._df._explain_string(mode="formatted"))
         return self
 
     def distinct(self) -> RecordStream:

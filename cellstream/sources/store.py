@@ -14,9 +14,10 @@ import time
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterable
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 from typing import Any
+from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -122,6 +123,21 @@ class Configuration:
         if self.buckets < 1:
             raise ValueError("a dataset has one bucket at least")
 
+    @classmethod
+    def from_json(cls, text: str) -> Configuration:
+        """From an object of these fields, with indexes as a list of {"name", "type"}."""
+        told = json.loads(text)
+        cells = tuple(define(i["name"], i["type"].lower()) for i in told.pop("indexes", ()))
+        return cls(**told, indexes=cells)
+
+    @classmethod
+    def from_xml(cls, text: str) -> Configuration:
+        """From `<dataset buckets= durability= durability-millis= disk= offheap=><index name= type=/>...</dataset>`."""
+        root = ElementTree.fromstring(text)
+        told = {k.replace("-", "_"): v for k, v in root.attrib.items()}
+        told |= {k: int(told[k]) for k in ("buckets", "durability_millis") if k in told}
+        return cls(**told, indexes=tuple(define(i.attrib["name"], i.attrib["type"].lower()) for i in root.findall("index")))
+
     def told(self) -> dict:
         out = asdict(self)
         out.pop("indexes")
@@ -151,6 +167,11 @@ class Dataset:
     outcomes: Counter = field(default_factory=Counter)
     accesses: Counter = field(default_factory=Counter)
     shapes: Counter = field(default_factory=Counter)
+    retries: int = RETRIES
+
+    def trying(self) -> Dataset:
+        """The same dataset, whose writes of one record fail with `ConcurrentChange` at once instead of trying anew."""
+        return replace(self, retries=1)
 
     # ---- manifest
     def versions(self) -> list[int]:
@@ -284,11 +305,11 @@ class Dataset:
 
     def _retried(self, write: Callable[[dict], Any]) -> Any:
         """`write(manifest)`, anew on the newest version when another writer was first."""
-        for attempt in range(RETRIES):
+        for attempt in range(self.retries):
             try:
                 return write(self.manifest())
             except ConcurrentChange:
-                if attempt == RETRIES - 1:
+                if attempt == self.retries - 1:
                     raise
 
     def add(self, key: Any, *cells: tuple[CellDefinition, Any]) -> bool:

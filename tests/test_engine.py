@@ -329,7 +329,27 @@ def test_pairs_logs_and_self_closing(few, caplog):
     assert write("n", 5).columns({}, "k").keys() == {"n"}
 
 
+def test_plans_are_told(few):
+    told = []
+    few.filter(X.value().is_(5)).explain(told.append, physical=True)
+    assert told[0].kind == "FULL" and "Physical Plan" in told[1]
+
+
+def test_writes_that_try_once(store):
+    store.new("d", define("k", "long"))
+    d = store.get("d")
+    once, old = d.trying(), d.manifest()
+    d.add(1, X.cell(1))
+    once.manifest = lambda version=None: old
+    with pytest.raises(ConcurrentChange):
+        once.add(2, X.cell(2))
+    assert d.records().count() == 1 and d.add(2, X.cell(2))
+
+
 def test_configurations():
+    made = Configuration.from_xml('<dataset buckets="4" durability="TIMED" durability-millis="50"><index name="x" type="INT"/></dataset>')
+    assert made == Configuration.from_json('{"buckets": 4, "durability": "TIMED", "durability_millis": 50, "indexes": [{"name": "x", "type": "int"}]}')
+    assert made.indexes == (X,)
     assert Configuration(durability="TIMED", durability_millis=100).told()["durability_millis"] == 100
     for bad in ({"durability": "TIMED"}, {"durability": "SOMETIMES"}, {"buckets": 0}):
         with pytest.raises(ValueError):
