@@ -352,10 +352,10 @@ def truth_cells(spark, d):
     return s.collect_frame(C.composite(*(C.filtering(p & Always(), C.counting(n)) for p, n in parts_)))
 
 
-@register("SELECT value FROM (SELECT CAST(trunc(p_retailprice) AS INTEGER) * 2 AS value FROM part) WHERE value > 2000")
+@register("SELECT value FROM (SELECT CAST(trunc(p_retailprice) AS INTEGER) * 2 AS value FROM part) WHERE value > 1900")
 def double_to_int(spark, d):
     s = parts(spark, d).map_to_double(RETAIL.value_or_fail()).map_to("int").boxed().map(lambda v: v.multiply(2)).peek("passed")
-    return s.filter(lambda v: v.is_greater_than(2000)).unordered().parallel().sequential().frame()
+    return s.filter(lambda v: v.is_greater_than(1900)).unordered().parallel().sequential().frame()
 
 
 @register("SELECT CAST(p_partkey AS INTEGER) AS value FROM part WHERE p_partkey % 2 = 0")
