@@ -328,7 +328,8 @@ class RecordStream(_Stream):
         """Tell the access path, and with `physical` what each stage will do on the cluster."""
         consumer(self.plan())
         if physical:
-            consumer(self._df._explain_string(mode="formatted"))
+            execution = self._df._jdf.queryExecution()
+            consumer(execution.explainString(self._df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")))
         return self
 
     def distinct(self) -> RecordStream:
