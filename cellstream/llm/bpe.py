@@ -99,7 +99,7 @@ def replay(symbols: np.ndarray, lengths: np.ndarray, merges: Merges) -> tuple[np
         if len(r) == 0:
             return
         if len(r) > 1:
-            order = np.argsort(r, kind="stable")
+            order = np.argsort(r)
             positions, r = positions[order], r[order]
             cut = np.flatnonzero(r[1:] != r[:-1]) + 1
             begins, heads = [0, *cut.tolist(), len(r)], r[np.concatenate(([0], cut))].tolist()
@@ -117,10 +117,13 @@ def replay(symbols: np.ndarray, lengths: np.ndarray, merges: Merges) -> tuple[np
     while heap:
         r = heapq.heappop(heap)
         parts = index.pop(r)
-        at = np.unique(parts[0] if len(parts) == 1 else np.concatenate(parts))
+        at = parts[0] if len(parts) == 1 else np.concatenate(parts)
         at = at[rank[at] == r]
         if len(at) == 0:
             continue
+        if len(at) > 1:
+            at.sort()
+            at = at[np.concatenate(([True], at[1:] != at[:-1]))]
         made = merges.made[r]
         if len(at) > 1 and (after[at[:-1]] == at[1:]).any():  # as in `aaa`: from the left
             keep, last = [], -1
@@ -155,12 +158,16 @@ def replay(symbols: np.ndarray, lengths: np.ndarray, merges: Merges) -> tuple[np
 
 def joined_rows(ids: np.ndarray, counts: np.ndarray, rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of rows (lists of word numbers) end to end and how many each has; `ids` has those of the words end to end."""
-    every = np.array([i for r in rows for i in r], np.int64)
+    return joined_words(ids, counts, np.array([i for r in rows for i in r], np.int64), np.array([len(r) for r in rows], np.int64))
+
+
+def joined_words(ids: np.ndarray, counts: np.ndarray, every: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for rows told as the word numbers of all, end to end, and how many words each has."""
     begins = np.cumsum(counts) - counts
     each = counts[every]
     total = np.concatenate(([0], np.cumsum(each)))
     where = np.repeat(begins[every] - total[:-1], each) + np.arange(total[-1])
-    bounds = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int64)
+    bounds = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
     return ids[where], np.diff(total[bounds])
 
 

@@ -11,8 +11,10 @@ import json
 import re
 import zlib
 from bisect import bisect_left, insort
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellstream.llm.bpe import SPACES, STEP_CHARS, Merges, Speller, joined_rows, replay
+from cellstream.llm.bpe import SPACES, STEP_CHARS, Merges, Speller, joined_words, replay
 from cellstream.llm.common import arrow_map, checkpointed, row_steps
 
 CAPACITY = 2048
@@ -28,6 +30,28 @@ CAPACITY = 2048
 #: Characters at which words may not be told apart by ASCII blanks, or that make special tokens: such texts go whole.
 _WHOLE = re.compile(f"[{''.join(map(chr, [*range(0x1C, 0x20), 0x180E, 0xFEFF, *(ord(c) for c in SPACES if ord(c) > 32)]))}]|<[|]")
 _PLAIN = re.compile(f"[!-~{chr(0xC0)}-{chr(0xFF)}]+" + r"\Z")
+_PLAIN_LINES = re.compile(f"[\n!-~{chr(0xC0)}-{chr(0xFF)}]*" + r"\Z")
+
+#: What makes a text of Latin-1 go whole, and the lower case of its characters, which doesn't depend on their neighbours
+#: and commutes with NFC there (not beyond: h and U+0331 compose, H and U+0331 don't).
+_WHOLE_LATIN = ("<|", *(chr(c) for c in range(256) if _WHOLE.match(chr(c))))
+_LOWER_LATIN = bytes(ord(chr(c).lower()) for c in range(256))
+
+
+def _goes_whole(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return bool(_WHOLE.search(text))
+    return any(s in text for s in _WHOLE_LATIN)
+
+
+def _lowered(text: str) -> str:
+    """`text` in lower case, or as it is if it has characters beyond Latin-1."""
+    try:
+        return text.encode("latin-1").translate(_LOWER_LATIN).decode("latin-1")
+    except UnicodeEncodeError:
+        return text
 
 
 def byte_letters() -> list[str]:
@@ -54,42 +78,47 @@ class WordBpe:
         letters = byte_letters()
         self.inner = np.array([vocab[x] for x in letters], np.int32)
         self.last = np.array([vocab[x + end] for x in letters], np.int32)
-        self.pattern = regex.compile(told["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.pattern = regex.compile(f"\n|{told['pre_tokenizer']['pretokenizers'][0]['pattern']['Regex']}")
         self.speller = Speller(self.pieces)
 
     def pieces(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        words: dict[str, int] = {}
-        rows: list[list[int] | None] = []
-        for u in units:
-            if not _PLAIN.match(u):
-                rows.append(None)
-            elif u.isalpha():
-                rows.append([words.setdefault(u.lower(), len(words))])
-            else:
-                rows.append([words.setdefault(m, len(words)) for m in self.pattern.findall(u.lower())])
-        raw = [w.encode() for w in words]
-        lengths = np.array([len(r) for r in raw], np.int64)
-        flat = np.frombuffer(b"".join(raw), np.uint8)
+        """Ids of units (text between blanks) end to end, and how many each has."""
+        told = np.zeros(len(units), bool)  # units that only the library itself spells surely: each as a word of its own
+        joined = "\n".join(units)
+        if not _PLAIN_LINES.match(joined):
+            told[:] = [not _PLAIN.match(u) for u in units]
+            joined = "\n".join("" if t else u for t, u in zip(told.tolist(), units, strict=True))
+        words: defaultdict[str, int] = defaultdict(count().__next__, {"\n": -1})  # a new word gets the next number
+        found = self.pattern.findall(joined.lower())
+        every = np.fromiter(map(words.__getitem__, found), np.int32, len(found))
+        del joined, found
+        breaks = every < 0
+        of = np.cumsum(breaks, dtype=np.int32)[~breaks]
+        every = every[~breaks]
+        flat = np.frombuffer("\n".join([*islice(words, 1, None), ""]).encode(), np.uint8)
+        ends = np.flatnonzero(flat == 10) - np.arange(len(words) - 1)
+        lengths = np.diff(ends, prepend=0)
+        flat = flat[flat != 10]
         symbols = self.inner[flat]
-        ends = np.cumsum(lengths) - 1
-        symbols[ends] = self.last[flat[ends]]
+        symbols[ends - 1] = self.last[flat[ends - 1]]
         ids, counts, odd = replay(symbols, lengths, self.merges)
-        whole = [k for k, r in enumerate(rows) if r is None]
-        if odd.any():
-            whole += [k for k, r in enumerate(rows) if r and odd[r].any()]
-        if whole:  # units that only the library itself spells surely: each as a word of its own
-            asked = self.tokenizer.encode_batch_fast([units[k] for k in whole], add_special_tokens=False)
-            for n, k in enumerate(whole):
-                rows[k] = [len(raw) + n]
+        told[of[odd[every]]] = True
+        if told.any():
+            whole = np.flatnonzero(told)
+            asked = self.tokenizer.encode_batch_fast([units[k] for k in whole.tolist()], add_special_tokens=False)
+            kept = ~told[of]
+            of = np.concatenate([of[kept], whole])
+            order = np.argsort(of, kind="stable")
+            of, every = of[order], np.concatenate([every[kept], len(counts) + np.arange(len(whole))])[order]
             ids = np.concatenate([ids, *(np.array(a.ids, np.int32) for a in asked)])
             counts = np.concatenate([counts, [len(a.ids) for a in asked]])
-        return joined_rows(ids, counts, rows)
+        return joined_words(ids, counts, every, np.bincount(of, minlength=len(units)))
 
     def encode(self, texts: list[str]) -> Iterator[list[np.ndarray]]:
         """Ids (unsigned 32-bit) of the texts, for some of them at a time in order."""
-        whole = [bool(_WHOLE.search(t)) for t in texts]
+        whole = [_goes_whole(t) for t in texts]
         begin = 0
-        for ids, counts in self.speller.spell([] if w else t.split() for t, w in zip(texts, whole, strict=True)):
+        for ids, counts in self.speller.spell([] if w else _lowered(t).split() for t, w in zip(texts, whole, strict=True)):
             rows = np.split(ids, np.cumsum(counts)[:-1])
             for k in range(len(rows)):
                 if whole[begin + k]:

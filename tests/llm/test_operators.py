@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -168,6 +169,30 @@ def test_packing_keeps_every_token_and_leaves_no_hole(spark):
     assert len(bins) <= 1 + 1.02 * sum(r.length for r in got) / 64
 
 
+def test_words_of_a_step_are_split_by_one_call_and_once_for_all_cases():
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    library, speller = Tokenizer.from_file(P.path("word_bpe_49k.json")), packing.WordBpe(P.path("word_bpe_49k.json"))
+    plain = ["The cat,the", "THE 12 Été's×3", "", "aaaa'sAAAA ÀÉ÷ÿ"]
+    odd = ["H\u0331 h\u0331", "ΟΔΟΣ The", "İI", "\u00b5\u00aa Å A\u030a", "x\x1cY", "\xa0É", "a\x85B", "<|startoftext|>The", "\x00The \u2028 D\u00b7"]
+    rnd = random.Random(8)
+    odd += ["".join(rnd.choice("aBÉ×'s1 \n\t.|<日ßſ\u0301\u0331\xad\xa0") for _ in range(rnd.randrange(30))) for _ in range(500)]
+    calls, pattern = [], speller.pattern
+    speller.pattern = SimpleNamespace(findall=lambda text: calls.append(text) or pattern.findall(text))
+
+    def same(texts):
+        got = [r.tolist() for rows in speller.encode(texts) for r in rows]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+    same(plain)
+    assert len(calls) == 1
+    same(["THE CAT,THE", "the 12 ÉTÉ'S×3"])
+    assert len(calls) == 1  # no new word
+    same(odd)
+    same(["日 ΟΔ"])  # no word that isn't left to the library
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_gives_every_rank_a_place(seed):
     rnd = random.Random(seed)
