@@ -252,6 +252,21 @@ class Order:
         c = self.expr.column()
         return c.desc_nulls_last() if self.descending else c.asc_nulls_first()
 
+    def rank(self) -> Column:
+        """A column that rises along this order, absent values where a sort has them: also where values fall."""
+        c, kind = self.expr.column(), self.expr.kind
+        if not self.descending:
+            return c
+        if kind == "bool":
+            turned = ~c
+        elif kind == "double":  # NaN is above all values, -0.0 equal to 0.0
+            turned = F.struct(~F.isnan(c), F.when(F.isnan(c), 0.0).otherwise(-c))
+        elif kind in NUMBERS:
+            turned = F.bitwise_not(c)
+        else:  # by bytes; a text stands behind those that begin with it
+            turned = F.concat(F.translate(F.hex(c), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("~"))
+        return F.struct(c.isNull(), turned)
+
 
 class Expr:
     """A typed function of a record. `optional` says that it may be absent (NULL)."""

@@ -80,18 +80,28 @@ def variance(expr: Expr, kind: str = "population", name: str = "variance") -> Co
     return _one(name, lambda mask: aggregate(_masked(expr.column(), mask)))
 
 
-def _extreme(order: Order, largest: bool, name: str) -> Collector:
+def _extreme(order: Order, largest: bool, name: str, ties: tuple[Order, ...]) -> Collector:
     up = largest != order.descending
     pick = F.max_by if up else F.min_by
-    return _one(name, lambda mask: pick(F.struct("*"), _masked(order.expr.column(), mask)))
 
+    def made(mask: Column | None) -> Column:
+        by = order.expr.column()
+        if ties:
+            # the first of the ties is the largest of a maximum's structs, the smallest of a minimum's
+            by = F.when(by.isNotNull(), F.struct(by, *((t.reversed() if up else t).rank() for t in ties)))
+        return pick(F.struct("*"), _masked(by, mask))
 
-def min_by(order: Order, name: str = "min") -> Collector:
-    return _extreme(order, False, name)
+    return _one(name, made)
 
 
-def max_by(order: Order, name: str = "max") -> Collector:
-    return _extreme(order, True, name)
+def min_by(order: Order, name: str = "min", ties: tuple[Order, ...] = ()) -> Collector:
+    """The record with the smallest value; of several the first by `ties`, without these any of them."""
+    return _extreme(order, False, name, ties)
+
+
+def max_by(order: Order, name: str = "max", ties: tuple[Order, ...] = ()) -> Collector:
+    """The record with the largest value; of several the first by `ties`, without these any of them."""
+    return _extreme(order, True, name, ties)
 
 
 def mapping(expr: Expr | Callable, down: Collector | Callable[[Expr], Collector] | None = None) -> Collector:

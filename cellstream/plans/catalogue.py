@@ -262,8 +262,9 @@ def variance(spark, d):
 
 @register("SELECT c_mktsegment AS key, arg_max(c_custkey, c_acctbal) AS top, arg_min(c_custkey, c_acctbal) AS low FROM customer GROUP BY c_mktsegment")
 def extremes_by_group(spark, d):
-    by = BALANCE.value().as_comparator()
-    made = C.grouping_by(SEGMENT.value(), C.composite(C.max_by(by), C.min_by(by)))
+    """Of customers with equal balances the one with the smallest key, the first that SQL meets in a table by key."""
+    by, ties = BALANCE.value().as_comparator(), (key("c_custkey", "long").as_comparator(),)
+    made = C.grouping_by(SEGMENT.value(), C.composite(C.max_by(by, ties=ties), C.min_by(by, ties=ties)))
     df = records(spark, d, "customer", "c_custkey").collect_frame(made)
     return df.select("key", F.col("max.c_custkey").alias("top"), F.col("min.c_custkey").alias("low"))
 

@@ -359,3 +359,39 @@ def test_configurations():
 def test_filters_reach_the_scan(spark, data):
     plan = catalogue.returned_revenue(spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(l_returnflag,R)" in plan and "l_tax" not in plan
+
+
+def test_equal_extremes_of_groups_are_those_of_sql(spark, tmp_path):
+    con = duckdb.connect()
+    con.sql("SET threads = 1")  # with more, which of equal rows arg_max takes may vary
+    few = "('5', 'A'), ('-3', 'A'), (NULL, 'A'), ('0', 'B'), ('-0.0', 'B'), ('NaN', 'C'), ('1', 'C'), (NULL, 'D'), ('7', NULL)"
+    rows = f"SELECT CAST(b AS DOUBLE) AS c_acctbal, s AS c_mktsegment FROM (VALUES {few}) t(b, s), range(3)"
+    con.sql(f"CREATE TABLE customer AS SELECT row_number() OVER () AS c_custkey, * FROM ({rows}) ORDER BY c_custkey")
+    want = {r[0]: r[1:] for r in con.sql(catalogue.ORACLE_SQL["extremes_by_group"]).fetchall()}
+    for way in ("ASC", "DESC"):
+        (tmp_path / way).mkdir()
+        con.sql(f"COPY (SELECT * FROM customer ORDER BY c_custkey {way}) TO '{tmp_path}/{way}/customer.parquet'")
+        assert {r.key: (r.top, r.low) for r in catalogue.extremes_by_group(spark, f"{tmp_path}/{way}").collect()} == want
+
+
+@pytest.mark.parametrize(
+    ("kind", "values"),
+    [
+        ("boolean", [True, None, False]),
+        ("int", [3, -(1 << 31), None, (1 << 31) - 1]),
+        ("long", [3, -(1 << 63), None, (1 << 63) - 1]),
+        ("double", [float("nan"), 0.0, None, float("-inf"), float("inf"), -2.5]),
+        ("string", ["ab", "", None, "a", "é", "a\0", "\U0001f600"]),
+    ],
+)
+def test_ties_of_extremes_are_taken_as_sorted(spark, kind, values):
+    cell = define("t", {"boolean": "bool"}.get(kind, kind)).value().as_comparator()
+    df = spark.createDataFrame(list(enumerate(values)), f"k long, t {kind}")
+    for tie in (cell, cell.reversed()):
+        keys = [r.k for r in RecordStream(df, "k").sorted(tie).to_array()]
+        # group n lacks the first n records of the sort
+        rows = [(n, k, 1, values[k]) for n in range(len(keys)) for k in keys[n:]]
+        s, by = RecordStream(spark.createDataFrame(rows, f"n int, k long, x int, t {kind}"), "k"), X.value().as_comparator()
+        down = C.composite(C.max_by(by, ties=(tie,)), C.min_by(by, ties=(tie,)), C.max_by(by.reversed(), "last", (tie,)))
+        found = s.collect_frame(C.grouping_by(define("n", "int").value(), down)).collect()
+        assert {r.key: {r["max"].k, r["min"].k, r["last"].k} for r in found} == {n: {k} for n, k in enumerate(keys)}
